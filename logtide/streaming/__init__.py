@@ -1,0 +1 @@
+"""The log model is batch only: sessions are stored ids and timelines are batch aggregates."""
