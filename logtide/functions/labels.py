@@ -62,9 +62,13 @@ def split_name(value: Column) -> Column:
 
 
 def tolerant_timestamp(value: Column) -> Column:
-    """UTC timestamp in any of the accepted notations, null when none fits."""
-    text = F.regexp_replace(strip(value.cast("string")), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", "")
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in _TIME_FORMATS])
+    """UTC timestamp in any of the accepted notations, null when none fits.
+
+    The notations after the ISO form are tried only when it fails.
+    """
+    text = strip(value.cast("string"))
+    plain = F.regexp_replace(text, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", "")
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(plain, F.lit(form)) for form in _TIME_FORMATS])
 
 
 def strict_timestamp(value: Column) -> Column:

@@ -78,18 +78,12 @@ def alpha_token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(ALPHA_START_WORD))
 
 
-def with_bigrams(tokens: Column, lead: Column | None = None) -> Column:
-    """Unigrams, then bigrams of neighbours; `lead` is the token before the first one, if any."""
-    chain = tokens
-    if lead is not None:
-        chain = F.when(lead.isNotNull(), F.concat(F.array(lead), tokens)).otherwise(tokens)
-    length = F.size(chain)
-    pairs = F.zip_with(
-        F.slice(chain, F.lit(1), F.greatest(length - 1, F.lit(0))),
-        F.slice(chain, F.lit(2), F.greatest(length - 1, F.lit(0))),
-        lambda left, right: F.concat_ws(" ", left, right),
+def bigrams(tokens: Column) -> Column:
+    """Neighbouring tokens joined by a space. Give it a plain column: `tokens` is referred to several times."""
+    length = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(tokens, F.lit(1), length), F.slice(tokens, F.lit(2), length), lambda a, b: F.concat_ws(" ", a, b)
     )
-    return F.concat(tokens, pairs)
 
 
 def has_label_word(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from logtide.functions import text as T
 from logtide.operators.lexical import count_vectors
-from logtide.operators.skew import salted_lookup, sized_lookup
+from logtide.operators.skew import key_sizes, salted_lookup, sized_lookup
 from logtide.operators.units import Units
+from logtide.runtime import stored
 
 
 @dataclass(frozen=True)
@@ -98,10 +99,11 @@ def mean_vectors(
 
 def text_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, float]) -> DataFrame:
     """Unit rows with `mean` and `weighted` arrays. Each distinct text is embedded once."""
-    distinct = units.frame.select("_text").distinct()
+    distinct = stored(key_sizes(units.frame, "_text"), "texts")
     outputs = {"mean": None, "weighted": idf}
-    embedded = mean_vectors(distinct, T.whitespace_tokens(F.col("_text")), vectors, outputs)
-    return salted_lookup(units.frame, embedded.drop("mean_weight", "weighted_weight"), "_text", "inner")
+    embedded = mean_vectors(distinct.select("_text"), T.whitespace_tokens(F.col("_text")), vectors, outputs)
+    lookup = embedded.drop("mean_weight", "weighted_weight")
+    return salted_lookup(units.frame, lookup, "_text", "inner", sizes=distinct)
 
 
 def session_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, float]) -> DataFrame:
@@ -111,14 +113,16 @@ def session_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, flo
     embedded = mean_vectors(units.frame, F.col("log_keys"), vectors, outputs, default_weight=unknown)
     if not units.segmented:
         return embedded.drop("mean_weight", "weighted_weight")
-    combined = embedded.where("segments > 1").groupBy("unit_id").agg(
-        Summarizer.mean(array_to_vector("mean"), F.col("mean_weight")).alias("_a"),
-        Summarizer.mean(array_to_vector("weighted"), F.col("weighted_weight")).alias("_b"),
-    )
-    combined = combined.select("unit_id", vector_to_array("_a").alias("mean"), vector_to_array("_b").alias("weighted"))
     base = embedded.drop("mean_weight", "weighted_weight")
-    first = base.where("segments > 1 and segment = 0").drop("mean", "weighted")
-    return base.where("segments = 1").unionByName(first.join(combined, "unit_id"))
+    joined = base.where("segments > 1 and segment = 0").drop("mean", "weighted")
+    zeros = F.array(*[F.lit(0.0)] * vectors.size)
+    for name in outputs:
+        # The summarizer refuses a group whose weights are all zero, so such sessions stay out of it.
+        known = embedded.where((F.col("segments") > 1) & (F.col(f"{name}_weight") > 0))
+        means = known.groupBy("unit_id").agg(Summarizer.mean(array_to_vector(name), F.col(f"{name}_weight")).alias("_m"))
+        joined = joined.join(means.select("unit_id", vector_to_array("_m").alias(name)), "unit_id", "left")
+        joined = joined.withColumn(name, F.coalesce(name, zeros))
+    return base.where("segments = 1").unionByName(joined)
 
 
 def token_means(tokens: DataFrame, vectors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -131,7 +135,7 @@ def token_means(tokens: DataFrame, vectors: DataFrame, weights: DataFrame | None
     found = sized_lookup(counted, vectors, "token", "inner")
     if weights is not None:
         found = sized_lookup(found, weights, "token", "inner").withColumn("_w", F.col("_w") * F.col("weight"))
-    averaged = found.groupBy("unit_id").agg(Summarizer.mean(array_to_vector("vector"), F.col("_w")).alias("_m"))
+    averaged = found.where("_w > 0").groupBy("unit_id").agg(Summarizer.mean(array_to_vector("vector"), F.col("_w")).alias("_m"))
     return averaged.select("unit_id", vector_to_array("_m").alias("mean"))
 
 
@@ -141,17 +145,25 @@ class Scaling:
     deviation: tuple[float, ...]
 
 
-def fit_scaling(frame: DataFrame, column: str) -> Scaling:
-    """Mean and population deviation per dimension; a zero deviation counts as one."""
-    summary = F.col("s")
-    found = (
-        frame.select(Summarizer.metrics("mean", "std", "count").summary(array_to_vector(column)).alias("s"))
-        .select(summary["mean"].alias("mean"), summary["std"].alias("std"), summary["count"].alias("n"))
-        .first()
-    )
-    shrink = ((found["n"] - 1) / found["n"]) ** 0.5 if found["n"] else 0.0
-    deviation = [float(v) * shrink for v in found["std"]]
-    return Scaling(tuple(map(float, found["mean"])), tuple(d if d > 0 else 1.0 for d in deviation))
+def fit_scalings(frame: DataFrame, columns: Sequence[str]) -> list[Scaling]:
+    """Mean and population deviation per dimension of each array column, from one pass.
+
+    A zero deviation counts as one.
+    """
+    summaries = [
+        Summarizer.metrics("mean", "std", "count").summary(array_to_vector(c)).alias(f"s{i}")
+        for i, c in enumerate(columns)
+    ]
+    row = frame.agg(*summaries).select(
+        *[F.col(f"s{i}.{m}").alias(f"{m}{i}") for i in range(len(columns)) for m in ("mean", "std", "count")]
+    ).first()
+    result = []
+    for i in range(len(columns)):
+        n = row[f"count{i}"]
+        shrink = ((n - 1) / n) ** 0.5 if n else 0.0
+        deviation = [float(v) * shrink for v in row[f"std{i}"]]
+        result.append(Scaling(tuple(map(float, row[f"mean{i}"])), tuple(d if d > 0 else 1.0 for d in deviation)))
+    return result
 
 
 def scaled(column: Column, scaling: Scaling) -> Column:

@@ -23,15 +23,22 @@ SESSION_FEATURES = 25_000
 _VECTOR = types.StructType([types.StructField("v", VectorUDT())])
 
 
-def unit_terms() -> Column:
-    """Unigrams and bigrams of a unit's text. A later segment starts with the separator that precedes it."""
+def with_terms(frame: DataFrame) -> DataFrame:
+    """Adds `_terms`, the unigrams and bigrams of a unit's text.
+
+    A later segment starts with the separator that precedes it. Words are their own projection
+    step, so that the tokeniser runs once per text however often the bigrams refer to it.
+    """
     text = F.when(F.col("segment") > 0, F.concat(F.lit(T.EVENT_SEPARATOR), F.col("_text"))).otherwise(F.col("_text"))
-    return T.with_bigrams(T.word_tokens(text), F.col("lead_token"))
+    words = frame.withColumn("_words", T.word_tokens(text))
+    chain = F.when(F.col("lead_token").isNotNull(), F.concat(F.array("lead_token"), "_words")).otherwise(F.col("_words"))
+    chained = words.withColumn("_chain", chain)
+    return chained.withColumn("_terms", F.concat("_words", T.bigrams(F.col("_chain")))).drop("_words", "_chain")
 
 
 def term_frequencies(units: Units) -> DataFrame:
     """(term, tf, df) over the units from one exploded pass, combined before the shuffle."""
-    terms = units.frame.select("unit_id", "segments", unit_terms().alias("terms"))
+    terms = with_terms(units.frame).select("unit_id", "segments", F.col("_terms").alias("terms"))
     counted = F.concat(
         F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(
@@ -122,7 +129,7 @@ def whole_unit_counts(counted: DataFrame, vector: str, size: int) -> DataFrame:
 def tfidf_vectors(units: Units, lexicon: Lexicon, output: str = "tfidf") -> DataFrame:
     """Unit rows with the sublinear, IDF-weighted, L2-normalised vector. No shuffle for log units."""
     size = len(lexicon.terms)
-    counted = count_vectors(units.frame.withColumn("_terms", unit_terms()), "_terms", lexicon.terms, "_counts")
+    counted = count_vectors(with_terms(units.frame), "_terms", lexicon.terms, "_counts")
     counted = counted.drop("_terms")
     if units.segmented:
         counted = whole_unit_counts(counted, "_counts", size)
@@ -140,7 +147,7 @@ def tfidf_long(units: Units, table: DataFrame, max_features: int = SESSION_FEATU
 
     `table` is (term, idf) of at most `max_features` rows, as `vocabulary` guarantees.
     """
-    terms = units.frame.select("unit_id", F.explode(unit_terms()).alias("term"))
+    terms = with_terms(units.frame).select("unit_id", F.explode("_terms").alias("term"))
     known = terms.join(F.broadcast(table.limit(max_features)), "term")
     counted = known.groupBy("unit_id", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     raw = counted.withColumn("_w", (1 + F.log("tf")) * F.col("idf"))

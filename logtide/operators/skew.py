@@ -15,12 +15,14 @@ HOT_ROWS = 1_000_000
 HOT_SHARES = 1_000
 # Largest group handled by one window or one collected list.
 GROUP_ROWS = 16_384
-_DIGIT = 1 << 21
 
 
-def hot_keys(facts: DataFrame, key: str, rows: int = HOT_ROWS, shares: int = HOT_SHARES) -> DataFrame:
+def key_sizes(facts: DataFrame, key: str) -> DataFrame:
+    return facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def hot_keys(sizes: DataFrame, key: str, rows: int = HOT_ROWS, shares: int = HOT_SHARES) -> DataFrame:
     """(key, _salts) for keys above the hot limit; fewer than `shares` rows by construction."""
-    sizes = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).scalar()
     piece = F.greatest(F.lit(rows).cast("double"), total / F.lit(float(shares)))
     return sizes.where(F.col("_n") > piece).select(key, F.ceil(F.col("_n") / piece).cast("int").alias("_salts"))
@@ -33,13 +35,15 @@ def salted_lookup(
     how: str = "left",
     rows: int = HOT_ROWS,
     shares: int = HOT_SHARES,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join `facts` to a lookup that has one row per key, cutting every hot key into salted pieces.
 
     Only the list of hot keys is broadcast; its size has a fixed bound. Lookup rows of hot keys
-    are repeated once per piece, all other rows take part in a plain shuffle join.
+    are repeated once per piece, all other rows take part in a plain shuffle join. `sizes` is
+    (key, _n) when the caller already counted the keys.
     """
-    hot = hot_keys(facts, key, rows, shares)
+    hot = hot_keys(key_sizes(facts, key) if sizes is None else sizes, key, rows, shares)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns if _hashable(facts, c)]), F.col("_salts"))
     left = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int"))
     right = (
@@ -83,16 +87,6 @@ def split_by_size(
     return flagged.where(~is_large).drop("_large"), flagged.where(is_large).drop("_large")
 
 
-def long_digits(value: Column) -> list[Column]:
-    """Three order-keeping digits of a non-negative 63-bit integer."""
-    number = value.cast("bigint")
-    return [
-        F.shiftright(number, 42),
-        F.shiftright(number, 21).bitwiseAND(F.lit(_DIGIT - 1)),
-        number.bitwiseAND(F.lit(_DIGIT - 1)),
-    ]
-
-
 def score_digits(score: Column) -> list[Column]:
     """Two order-keeping digits of a non-negative double: binary exponent, then mantissa steps.
 
@@ -166,23 +160,34 @@ def positions(
 ) -> DataFrame:
     """Adds `position`: 1-based order by (time, row_id) inside the group, null times last.
 
-    Groups up to `limit` rows use a plain window, larger ones running totals over time cells.
+    Groups up to `limit` rows use a plain window. The keys of larger groups are range-sorted into
+    even slices and pinned, and positions are running totals over the slices; (group, row_id) must be unique.
     """
     small, large = split_by_size(frame, group, limit)
-    window = Window.partitionBy(group).orderBy(F.col(time).isNull(), F.col(time), F.col(row_id))
-    result = small.withColumn("position", F.row_number().over(window))
+    order = [F.col(time).isNull(), F.col(time), F.col(row_id)]
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint")
+    result = small.withColumn("position", place)
     if large is None:
         return result
-    micros = F.unix_micros(F.col(time).cast("timestamp")) + F.lit(1 << 61)
-    micros = F.coalesce(micros, F.lit((1 << 63) - 1))
-    digit_names = [f"_d{i}" for i in range(5)]
-    cells = long_digits(micros) + long_digits(F.col(row_id))[:2]
-    keyed = large.select("*", F.lit(1).alias("_one"), *[c.alias(n) for c, n in zip(cells, digit_names)])
-    ranked = running_totals(keyed, [group], digit_names, [F.col(row_id)], ["_one"])
-    ranked = ranked.withColumnRenamed("cum__one", "position").drop("_one", "total__one", *digit_names)
-    return result.withColumn("position", F.col("position").cast("bigint")).unionByName(
-        ranked.withColumn("position", F.col("position").cast("bigint"))
-    )
+    return result.unionByName(large_positions(large, group, time, row_id))
+
+
+def large_positions(large: DataFrame, group: str, time: str, row_id: str = "row_id") -> DataFrame:
+    """`positions` for groups known to be large: ranked on the keys alone, joined back by unique row."""
+    order = [F.col(time).isNull(), F.col(time), F.col(row_id)]
+    ranked = range_positions(large.select(group, time, row_id), group, order)
+    return large.join(ranked.select(group, row_id, "position"), [group, row_id])
+
+
+def range_positions(keys: DataFrame, group: str, order: Sequence[Column], slice_rows: int = HOT_ROWS) -> DataFrame:
+    """Position inside each group from an even range partitioning of (group, order)."""
+    wanted = -(-keys.count() // slice_rows)
+    slices = max(wanted, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = keys.repartitionByRange(slices, F.col(group), *order)
+    # Pinned, so that the totals and the rows below see the same slices.
+    sliced = pinned(ranged.select("*", F.spark_partition_id().alias("_slice"), F.lit(1).cast("bigint").alias("_one")))
+    summed = running_totals(sliced, [group], ["_slice"], order, ["_one"])
+    return summed.select(*keys.columns, F.col("cum__one").alias("position"))
 
 
 def with_row_position(frame: DataFrame, order_by: Sequence[Column] | None = None, name: str = "row_id") -> DataFrame:

@@ -30,12 +30,13 @@ def word_tokens(spark, d):
 
 
 @register(
-    f"""WITH {V.CHATS} SELECT row_id, array_to_string(list_concat(w, list_transform(range(1, len(w)), i -> concat(w[i], ' ', w[i + 1]))), '|') AS terms
+    f"""WITH {V.CHATS} SELECT row_id, array_to_string(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))), '|') AS terms
     FROM (SELECT row_id, {V.WORDS_SQL} AS w FROM chat)"""
 )
 def unigrams_and_bigrams(spark, d):
-    terms = T.with_bigrams(T.word_tokens(F.col("_text")))
-    return V.chat_rows(spark, d).select("row_id", F.array_join(terms, "|").alias("terms"))
+    rows = V.chat_rows(spark, d).select("row_id", T.word_tokens(F.col("_text")).alias("words"))
+    terms = F.concat("words", T.bigrams(F.col("words")))
+    return rows.select("row_id", F.array_join(terms, "|").alias("terms"))
 
 
 _DOC_UNITS = f"{V.DOCUMENTS}, du AS (SELECT CAST(row_id AS VARCHAR) AS unit_id, _text, _split, _target FROM docs)"
@@ -94,12 +95,12 @@ def segmented_session_tfidf(spark, d):
     return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon, spark)
 
 
-@register(f"WITH {_DOC_UNITS}, {_weights_sql('du', 20000)} SELECT unit_id, CAST(count(*) AS BIGINT) AS entries, round(sum(weight), 4) AS total, round(max(weight), 6) AS top FROM weights GROUP BY 1")
+@register(f"WITH {_DOC_UNITS}, {_weights_sql('du', 20000)} SELECT u.unit_id, count(w.term) AS entries, round(coalesce(sum(w.weight), 0), 4) AS total, round(max(w.weight), 6) AS top FROM du u LEFT JOIN weights w ON u.unit_id = w.unit_id GROUP BY 1")
 def document_tfidf_vectors(spark, d):
     built = V.document_units(spark, d)
     lexicon = lexical.fit_lexicon(_train(built))
     parts = F.unwrap_udt(F.col("tfidf"))
-    values = lexical.tfidf_vectors(built, lexicon).select("unit_id", parts["values"].alias("v")).where(F.size("v") > 0)
+    values = lexical.tfidf_vectors(built, lexicon).select("unit_id", parts["values"].alias("v"))
     return values.select(
         "unit_id",
         F.size("v").cast("bigint").alias("entries"),
@@ -174,7 +175,7 @@ def masked_event_surprise(spark, d):
     return found.withColumn("surprise", F.round("surprise", 6))
 
 
-_FIRST = "round(sum(v.vector[{0}] * {1}) / sum({1}), 6) AS m{0}"
+_FIRST = "round(sum(v.vector[{0}] * {1}) / sum({1}), 9) AS m{0}"
 
 
 @register(
@@ -183,7 +184,7 @@ _FIRST = "round(sum(v.vector[{0}] * {1}) / sum({1}), 6) AS m{0}"
 def mean_token_embedding(spark, d):
     tokens = _chat_tokens(spark, d)
     means = embed.token_means(tokens, _token_vectors(tokens).drop("weight"))
-    return means.select("unit_id", *[F.round(F.col("mean")[i], 6).alias(f"m{i + 1}") for i in range(4)])
+    return means.select("unit_id", *[F.round(F.col("mean")[i], 9).alias(f"m{i + 1}") for i in range(4)])
 
 
 @register(
@@ -193,7 +194,7 @@ def weighted_token_embedding(spark, d):
     tokens = _chat_tokens(spark, d)
     vectors = _token_vectors(tokens)
     means = embed.token_means(tokens, vectors.drop("weight"), vectors.select("token", "weight"))
-    return means.select("unit_id", *[F.round(F.col("mean")[i], 6).alias(f"m{i + 1}") for i in range(4)])
+    return means.select("unit_id", *[F.round(F.col("mean")[i], 9).alias(f"m{i + 1}") for i in range(4)])
 
 
 @register(
@@ -245,7 +246,7 @@ def standard_scaling(spark, d):
 )
 def row_wise_scaling(spark, d):
     rows = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    scaled = rows.select("vec_id", embed.scaled(F.col("e"), embed.fit_scaling(rows, "e")).alias("s"))
+    scaled = rows.select("vec_id", embed.scaled(F.col("e"), embed.fit_scalings(rows, ["e"])[0]).alias("s"))
     return scaled.select(
         "vec_id",
         F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 5).alias("total"),

@@ -35,7 +35,7 @@ def enrichment_with_fallback(spark, d):
 
 _CHAT_TOKENS = f"{V.CHATS}, toks AS (SELECT row_id AS unit_id, unnest(string_split(_text, ' ')) AS token FROM chat WHERE _text <> '')"
 _RANKED = """vocab AS (SELECT token, count(*) AS n FROM toks GROUP BY 1), vec AS (
- SELECT token, list_transform(range(0, 4), i -> ((length(token) * 7 + n * 3 + i * 11) % 23) / CAST(23 AS DOUBLE)) AS vector, (n % 5) + 1 AS weight FROM vocab WHERE n >= 2)"""
+ SELECT token, list_transform(range(0, 4), lambda i: ((length(token) * 7 + n * 3 + i * 11) % 23) / CAST(23 AS DOUBLE)) AS vector, (n % 5) + 1 AS weight FROM vocab WHERE n >= 2)"""
 _TOKEN_CTE = f"{_CHAT_TOKENS}, {_RANKED}"
 
 

@@ -157,8 +157,8 @@ def label_coalesce(spark, d):
 def generated_templates(spark, d):
     raw = V.raw_logs(spark, d)
     raw = raw.withColumn("template_id", F.when(F.col("row_id") % 3 == 0, " ").otherwise(F.col("template_id")))
-    columns = prepare.prepared_columns([c for c in raw.columns if c != "row_id"])
-    return raw.select("row_id", columns["_template"].alias("_template"))
+    columns = [c for c in raw.columns if c != "row_id"]
+    return prepare.with_model_columns(raw, columns).select("row_id", "_template")
 
 
 _TIME_SQL = """CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')

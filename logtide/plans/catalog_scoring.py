@@ -7,6 +7,7 @@ from logtide.operators.skew import sized_lookup
 from logtide.plans import views as V
 from logtide.plans.catalog import register
 from logtide.plans.catalog_joins import _ALIGNED_SQL, aligned_scores
+from logtide.runtime import stored
 
 _KEY = ["model_id"]
 
@@ -17,7 +18,7 @@ def score_curve(spark, d):
 
 def evidence_rows(spark, d):
     """Evidence of both pseudo-models at their best thresholds."""
-    best = scoring.best_thresholds(score_curve(spark, d), _KEY)
+    best = stored(scoring.best_thresholds(score_curve(spark, d), _KEY), "thresholds")
     rows = sized_lookup(V.scores(spark, d), best.withColumnRenamed("threshold", "limit"), "model_id", "inner")
     return scoring.evidence(rows, F.col("limit")).drop("limit", "validation_f1")
 
@@ -85,7 +86,7 @@ def prediction_evidence(spark, d):
 )
 def outcomes_with_unknown_truth(spark, d):
     hidden = V.scores(spark, d).withColumn("actual", F.when(F.col("unit_id") % 2 == 0, F.col("actual")))
-    best = scoring.best_thresholds(score_curve(spark, d), _KEY).withColumnRenamed("threshold", "limit")
+    best = stored(scoring.best_thresholds(score_curve(spark, d), _KEY), "thresholds").withColumnRenamed("threshold", "limit")
     rows = scoring.evidence(sized_lookup(hidden, best, "model_id", "inner"), F.col("limit"))
     return rows.select("model_id", "unit_id", "outcome", "predicted")
 
@@ -132,7 +133,7 @@ def _neutral_sessions(spark, d):
     """Session-labelled logs whose texts do not name the event kind, so that the label must be learnt."""
     frame = V.session_logs(spark, d)
     plain = F.regexp_replace("_text", r"\b(click|error|purchase|signup|view)\b ?", "")
-    return frame.withColumn("_text", plain)
+    return stored(frame.withColumn("_text", plain), "neutral-logs")
 
 
 @register()
@@ -150,7 +151,7 @@ def random_forest_scores(spark, d):
 def _trained_evidence(spark, d, representation, clf):
     from logtide.plans.experiment import Settings, train_experiment
 
-    labelled = V.document_logs(spark, d).where("_target is not null").withColumn("_session", F.lit(""))
+    labelled = V.document_logs(spark, d, "quality").where("_target is not null").withColumn("_session", F.lit(""))
     bundle = train_experiment(labelled, Settings(representation=representation, classifier=clf, rf_trees=10, rf_depth=8, max_features=2000))
     return bundle.evidence.select("model_id", "unit_id", "score", "predicted", "confidence", "threshold", "actual", "outcome")
 
@@ -215,9 +216,9 @@ def linear_explanations(spark, d):
 
 @register(
     f"""WITH {V.CHATS}, t AS (SELECT row_id AS unit_id, string_split(_text, ' ') AS toks FROM chat WHERE _text <> ''), full_score AS (
-    SELECT unit_id, toks, list_sum(list_transform(toks, x -> length(x))) AS s, [x for x, i in toks if list_position(toks, x) = i] AS uniq FROM t), v AS (
+    SELECT unit_id, toks, list_sum(list_transform(toks, lambda x: length(x))) AS s, [x for x, i in toks if list_position(toks, x) = i] AS uniq FROM t), v AS (
     SELECT unit_id, toks, unnest(uniq[1:24]) AS term, unnest(range(1, len(uniq[1:24]) + 1)) AS place FROM full_score), change AS (
-    SELECT unit_id, term, place, list_sum(list_transform(list_filter(toks, x -> x = term), x -> length(x))) AS contribution FROM v), ranked AS (
+    SELECT unit_id, term, place, list_sum(list_transform(list_filter(toks, lambda x: x = term), lambda x: length(x))) AS contribution FROM v), ranked AS (
     SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY contribution DESC, place) AS r FROM change)
     SELECT unit_id, string_agg(concat(term, '=', CAST(contribution AS BIGINT)), ' ' ORDER BY r) AS terms FROM ranked WHERE r <= 6 GROUP BY 1"""
 )

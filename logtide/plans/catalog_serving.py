@@ -134,7 +134,7 @@ def whole_dataset_analysis(spark, d):
     from logtide.sources.store import Store
 
     store = Store(spark, new_path(spark, "workspace"))
-    labelled = V.raw_documents(spark, d).where("target is not null").select("row_id", "log_text", "target", "split")
+    labelled = V.raw_documents(spark, d, "quality").where("target is not null").select("row_id", "log_text", "target", "split")
     frame = prepare.prepared_frame(labelled, row_id="row_id")
     # Copies of one text may carry both labels in these tables; such texts are left out as an upload would be refused.
     bad = prepare.contradictory_texts(frame, "log_text").withColumnRenamed("text", "log_text")
@@ -151,7 +151,7 @@ def pasted_message_scores(spark, d):
     from logtide.plans.analysis import score_messages
     from logtide.plans.experiment import Settings, train_experiment
 
-    labelled = V.document_logs(spark, d).where("_target is not null").withColumn("_session", F.lit(""))
+    labelled = V.document_logs(spark, d, "quality").where("_target is not null").withColumn("_session", F.lit(""))
     bundle = train_experiment(labelled, Settings(representation="tfidf", classifier="lr", max_features=2000))
     # A user may paste at most 100 messages: the limit is the feature.
     texts = [row["text"] for row in V.table(spark, d, "benchmark").orderBy("item_id").limit(100).collect()]

@@ -76,9 +76,10 @@ def event_sessions(spark: SparkSession, folder: str) -> Units:
     return session_units(session_logs(spark, folder))
 
 
-def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
+def raw_documents(spark: SparkSession, folder: str, label: str = "toxic") -> DataFrame:
+    """Documents as an upload; `label` picks the column of `labels` that becomes the target."""
     d = table(spark, folder, "documents")
-    toxic = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("target"))
+    toxic = table(spark, folder, "labels").select("doc_id", F.col(label).alias("target"))
     joined = sized_lookup(d, toxic, "doc_id")
     return joined.select(
         (F.col("doc_id") + 1).alias("row_id"), F.col("text").alias("log_text"), "target", F.col("source").alias("session_id"),
@@ -86,9 +87,9 @@ def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def document_logs(spark: SparkSession, folder: str) -> DataFrame:
+def document_logs(spark: SparkSession, folder: str, label: str = "toxic") -> DataFrame:
     """Documents as prepared log rows, copies kept: `row_id`, cleaned `_text`, `_target`, `_split`."""
-    raw = raw_documents(spark, folder)
+    raw = raw_documents(spark, folder, label)
     return raw.select(
         "row_id",
         "log_text",
@@ -235,7 +236,7 @@ def terms_sql(source: str) -> str:
     return f"""words AS (SELECT unit_id, _split, _target, {WORDS_SQL} AS toks FROM {source}), terms AS (
  SELECT unit_id, _split, _target, unnest(toks) AS term FROM words
  UNION ALL
- SELECT unit_id, _split, _target, unnest(list_transform(range(1, len(toks)), i -> concat(toks[i], ' ', toks[i + 1]))) FROM words)"""
+ SELECT unit_id, _split, _target, unnest(list_transform(range(1, len(toks)), lambda i: concat(toks[i], ' ', toks[i + 1]))) FROM words)"""
 
 
 def lexicon_sql(source: str, cap: int) -> str:
