@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +35,21 @@ EVENT_SEPARATOR = " [EVENT] "
 # -------------------------------------------------------------------------------------------
 
 _UNICODE = "(?U)"
-# Any text an identifier rule can change contains one of these prefixes.
-_IDENTIFIER_HINT = "(?:supi|guti|ses|gnb|cell|nf|pol|sec|ueg|sst)-"
+
+
+def _literal_first(pattern: str) -> str:
+    """The same matches, with the boundary check behind the first literal or digit.
+
+    A pattern that starts with `\\b` is tried at every character; one that starts with a literal
+    lets the matcher skip ahead.
+    """
+    head = re.match(r"\\b([a-z]+-|\\d)", pattern)
+    if head is None:
+        return pattern
+    first, rest = head[1], pattern[head.end() :]
+    if first == r"\d":
+        rest = r"\d*" + rest.removeprefix("+")
+    return rf"{first}(?<=\b{first}){rest}"
 
 
 def strip(value: Column) -> Column:
@@ -52,17 +68,21 @@ def is_blank(value: Column) -> Column:
 def clean_log_text(value: Column) -> Column:
     """Mask identifiers, addresses and numbers, keep words, collapse the rest to single spaces.
 
-    The ten identifier rules run only on texts that hold one of their prefixes, and the
-    drop-symbols and collapse-whitespace steps are one pass over the text.
+    The ten identifier rules run only on texts that hold one of their prefixes. Symbols and odd
+    whitespace become spaces first and only runs of spaces are rewritten after that, so an
+    ordinary single space between words is never a match.
     """
     lowered = F.lower(F.regexp_replace(value.cast("string"), _UNICODE + LEADING_TIME, ""))
     masked = lowered
     for pattern, replacement in IDENTIFIERS:
-        masked = F.regexp_replace(masked, _UNICODE + pattern, replacement)
-    text = F.when(lowered.rlike(_IDENTIFIER_HINT), masked).otherwise(lowered)
+        masked = F.regexp_replace(masked, _UNICODE + _literal_first(pattern), replacement)
+    prefixes = [re.match(r"\\b([a-z]+-)", pattern)[1] for pattern, _ in IDENTIFIERS]
+    may_hold = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(prefix)) for prefix in prefixes])
+    text = F.when(may_hold, masked).otherwise(lowered)
     for pattern, replacement in (PRIVATE_ADDRESS, NUMBER):
-        text = F.regexp_replace(text, _UNICODE + pattern, replacement)
-    return F.trim(F.translate(F.regexp_replace(text, r"[^a-z0-9_\-]+", " "), "-", "_"))
+        text = F.regexp_replace(text, _UNICODE + _literal_first(pattern), replacement)
+    spaced = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9_\- ]+", " "), " {2,}", " ")
+    return F.trim(F.translate(spaced, "-", "_"))
 
 
 def whitespace_tokens(text: Column) -> Column:

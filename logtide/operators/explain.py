@@ -51,7 +51,7 @@ def linear_contributions(
     top = product.transform(vectors).withColumn("_top", strongest(entries)).drop("_p")
     words = lexicon.table(vectors.sparkSession).select("index", "term")
     named = (
-        top.select("unit_id", F.posexplode("_top").alias("_at", "e"))
+        top.select("unit_id", F.posexplode_outer("_top").alias("_at", "e"))
         .join(F.broadcast(words), F.col("e.term") == F.col("index"))
         .groupBy("unit_id")
         .agg(F.array_sort(F.collect_list(F.struct("_at", "term", F.col("e.contribution").alias("contribution")))).alias("_t"))

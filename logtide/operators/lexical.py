@@ -115,7 +115,8 @@ def whole_unit_counts(counted: DataFrame, vector: str, size: int) -> DataFrame:
     arrays = counted.select(
         "unit_id", "segment", "segments", parts["indices"].alias("_i"), parts["values"].alias("_v")
     )
-    entries = arrays.where("segments > 1").select("unit_id", F.explode(F.arrays_zip("_i", "_v")).alias("e"))
+    entries = arrays.where("segments > 1").select("unit_id", F.explode_outer(F.arrays_zip("_i", "_v")).alias("e"))
+    entries = entries.where("e is not null")
     summed = entries.groupBy("unit_id", F.col("e._i").alias("i")).agg(F.sum("e._v").alias("v"))
     # At most `size` entries per unit: the vocabulary is capped.
     packed = summed.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_e"))
