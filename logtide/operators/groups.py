@@ -59,12 +59,12 @@ def _with_minimum(edges: DataFrame, minimum: DataFrame, key: str, salted: bool)
 
 
 def _large_star(edges: DataFrame, salted: bool) -> DataFrame:
-    """Larger neighbours of each node move to the smallest node around it."""
+    """Larger neighbours of each node move to the smallest node around it; copies go in the next step."""
     both = edges.select(F.col("lo").alias("lo"), F.col("hi").alias("other")).unionByName(
         edges.select(F.col("hi").alias("lo"), F.col("lo").alias("other"))
     )
     minimum = both.groupBy("lo").agg(F.min("other").alias("m")).select("lo", F.least("lo", "m").alias("m"))
-    return _with_minimum(edges, minimum, "lo", salted).select("hi", F.col("m").alias("lo")).distinct()
+    return _with_minimum(edges, minimum, "lo", salted).select("hi", F.col("m").alias("lo"))
 
 
 def _small_star(edges: DataFrame, salted: bool) -> DataFrame:

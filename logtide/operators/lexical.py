@@ -1,4 +1,4 @@
-"""TF-IDF: vocabulary, smooth IDF and L2-normalised vectors, in vector form and in long form."""
+"""TF-IDF: vocabulary, smooth IDF and L2-normalised vectors."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as types
 
@@ -39,14 +39,15 @@ def with_terms(frame: DataFrame) -> DataFrame:
 def term_frequencies(units: Units) -> DataFrame:
     """(term, tf, df) over the units from one exploded pass, combined before the shuffle."""
     terms = with_terms(units.frame).select("unit_id", "segments", F.col("_terms").alias("terms"))
-    counted = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-        ),
+    # Two lists per unit, all occurrences and distinct terms, each exploded with its own counters.
+    lists = F.array(
+        F.struct(F.lit(1).alias("tf"), F.lit(0).alias("df"), F.col("terms").alias("list")),
+        F.struct(F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("terms").alias("list")),
     )
     single = terms.where("segments = 1") if units.segmented else terms
-    pairs = single.select(F.explode(counted).alias("e")).select("e.*")
+    # The outer forms keep the optimizer from inferring a size filter that would tokenise every text twice.
+    pairs = single.select(F.explode_outer(lists).alias("e")).select(F.explode_outer("e.list").alias("term"), "e.tf", "e.df")
+    pairs = pairs.where("term is not null")
     if units.segmented:
         # A term counts once per session, however many segments hold it.
         long = terms.where("segments > 1").select("unit_id", F.explode("terms").alias("term"))
@@ -143,18 +144,16 @@ def tfidf_vectors(units: Units, lexicon: Lexicon, output: str = "tfidf") -> Data
     return unit_length.transform(weighted.transform(damped)).drop("_counts", "_damped", "_weighted")
 
 
-def tfidf_long(units: Units, table: DataFrame, max_features: int = SESSION_FEATURES) -> DataFrame:
-    """(unit_id, term, tf, weight): the same weights one row per entry.
-
-    `table` is (term, idf) of at most `max_features` rows, as `vocabulary` guarantees.
-    """
-    terms = with_terms(units.frame).select("unit_id", F.explode("_terms").alias("term"))
-    known = terms.join(F.broadcast(table.limit(max_features)), "term")
-    counted = known.groupBy("unit_id", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    raw = counted.withColumn("_w", (1 + F.log("tf")) * F.col("idf"))
-    # A unit has at most one row per vocabulary term.
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("unit_id")))
-    return raw.select("unit_id", "term", "tf", (F.col("_w") / norm).alias("weight"))
+def vector_entries(vectors: DataFrame, lexicon: Lexicon, column: str = "tfidf") -> DataFrame:
+    """(unit_id, term, weight): the vectors one row per entry. The capped vocabulary is broadcast, nothing is shuffled."""
+    parts = F.unwrap_udt(F.col(column))
+    zipped = F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
+    words = lexicon.table(vectors.sparkSession).select("index", "term")
+    # Outer: an inferred size filter would build every vector twice. The inner join drops empty ones.
+    entries = vectors.select("unit_id", F.explode_outer(zipped).alias("e"))
+    return entries.join(F.broadcast(words), F.col("e.i") == F.col("index")).select(
+        "unit_id", "term", F.col("e.v").alias("weight")
+    )
 
 
 def key_idf(train: Units) -> DataFrame:

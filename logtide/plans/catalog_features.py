@@ -63,20 +63,15 @@ def _weights_sql(source: str, cap: int) -> str:
     SELECT e.unit_id, e.term, e.tf, e.w / n.n AS weight FROM entries e JOIN norm n ON e.unit_id = n.unit_id)"""
 
 
-@register(f"WITH {_LOG_UNITS}, {_weights_sql('lu', 20000)} SELECT unit_id, term, tf, round(weight, 6) AS weight FROM weights")
+@register(f"WITH {_LOG_UNITS}, {_weights_sql('lu', 20000)} SELECT unit_id, term, round(weight, 6) AS weight FROM weights")
 def log_tfidf_weights(spark, d):
     built = units.log_units(V.prepared_logs(spark, d))
     lexicon = lexical.fit_lexicon(_train(built))
-    long = lexical.tfidf_long(built, lexicon.table(spark).select("term", "idf"))
-    return long.withColumn("weight", F.round("weight", 6))
+    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon)
 
 
-def _vector_rows(vectors, lexicon, spark):
-    parts = F.unwrap_udt(F.col("tfidf"))
-    entries = vectors.select("unit_id", F.explode(F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))).alias("e"))
-    words = lexicon.table(spark).select("index", "term")
-    # The vocabulary is capped at 25,000 terms.
-    return entries.join(F.broadcast(words), F.col("e.i") == F.col("index")).select("unit_id", "term", F.round("e.v", 6).alias("weight"))
+def _vector_rows(vectors, lexicon):
+    return lexical.vector_entries(vectors, lexicon).withColumn("weight", F.round("weight", 6))
 
 
 @register(f"WITH {V.CHATS}, {_weights_sql('chats', 25000)} SELECT unit_id, term, round(weight, 6) AS weight FROM weights")
@@ -84,7 +79,7 @@ def session_tfidf_vectors(spark, d):
     """The vector form, unpacked to compare entry by entry."""
     built = V.chat_sessions(spark, d)
     lexicon = lexical.fit_lexicon(_train(built), lexical.SESSION_FEATURES)
-    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon, spark)
+    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon)
 
 
 @register(f"WITH {V.CHATS}, {_weights_sql('chats', 25000)} SELECT unit_id, term, round(weight, 6) AS weight FROM weights")
@@ -92,7 +87,7 @@ def segmented_session_tfidf(spark, d):
     """The same vectors from sessions held as two-event segments: segment borders must not show."""
     built = units.session_units(V.chat_rows(spark, d), limit=2)
     lexicon = lexical.fit_lexicon(_train(built), lexical.SESSION_FEATURES)
-    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon, spark)
+    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon)
 
 
 @register(f"WITH {_DOC_UNITS}, {_weights_sql('du', 20000)} SELECT u.unit_id, count(w.term) AS entries, round(coalesce(sum(w.weight), 0), 4) AS total, round(max(w.weight), 6) AS top FROM du u LEFT JOIN weights w ON u.unit_id = w.unit_id GROUP BY 1")
