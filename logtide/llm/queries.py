@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import language, quality
+from logtide.llm import language, minhash, quality
 from logtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,12 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op3_language_id, op7_quality_classifier)
+    found = (op3_language_id, op7_quality_classifier, op10_minhash_near_dedup)
     return {query.__name__: query for query in found}
 
 
