@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import language, minhash, quality
+from logtide.llm import bpe, language, minhash, quality
 from logtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "documents"))
 
@@ -25,7 +31,7 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_language_id, op7_quality_classifier, op10_minhash_near_dedup)
+    found = (op1_byte_bpe, op3_language_id, op7_quality_classifier, op10_minhash_near_dedup)
     return {query.__name__: query for query in found}
 
 
