@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, language, minhash, mixing, quality
+from logtide.llm import bpe, language, minhash, mixing, quality, urls
 from logtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"), urls.rules_table(spark, urls.RULES))
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
@@ -35,9 +39,9 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op3_language_id, op5_source_mixing, op7_quality_classifier, op10_minhash_near_dedup)
+    found = (op1_byte_bpe, op3_language_id, op4_url_filters, op5_source_mixing, op7_quality_classifier, op10_minhash_near_dedup)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.sql()}
+    return {"op4_url_filters": urls.sql(), "op5_source_mixing": mixing.sql()}
