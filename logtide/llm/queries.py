@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, language, minhash, mixing, quality, urls
+from logtide.llm import bpe, chat, language, minhash, mixing, quality, urls
 from logtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.read_back(chat.formatted(chat.with_added(table(spark, folder, "conversations"))))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -39,9 +43,9 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op3_language_id, op4_url_filters, op5_source_mixing, op7_quality_classifier, op10_minhash_near_dedup)
+    found = (op1_byte_bpe, op3_language_id, op4_url_filters, op5_source_mixing, op6_chat_formatting, op7_quality_classifier, op10_minhash_near_dedup)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urls.sql(), "op5_source_mixing": mixing.sql()}
+    return {"op4_url_filters": urls.sql(), "op5_source_mixing": mixing.sql(), "op6_chat_formatting": chat.sql()}
