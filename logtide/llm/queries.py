@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, chat, language, minhash, mixing, quality, urls
+from logtide.llm import bpe, chat, language, minhash, mixing, quality, toxicity, urls
 from logtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,12 +38,16 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op3_language_id, op4_url_filters, op5_source_mixing, op6_chat_formatting, op7_quality_classifier, op10_minhash_near_dedup)
+    found = (op1_byte_bpe, op3_language_id, op4_url_filters, op5_source_mixing, op6_chat_formatting, op7_quality_classifier, op9_toxicity, op10_minhash_near_dedup)
     return {query.__name__: query for query in found}
 
 
