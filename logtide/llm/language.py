@@ -80,13 +80,17 @@ def _logs(rows: list, languages: list[str], key: str) -> dict[str, np.ndarray]:
 def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> Model:
     """Learns from (doc_id, text, lang): all rows of a language, or by hash of the id about `per_language` of them."""
     rows = training.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
+    # The languages, few by nature, are part of the model; so their shares are a literal map instead of a join on a hot key.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return Model([], {}, {}, np.zeros(0))
+    shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1_000_003)) / 1_000_003
-    kept = rows.join(shares, "lang").where(draw < F.col("share"))
+    kept = rows.where(draw < F.element_at(shares, F.col("lang")))
     tokens = kept.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS_SQL), 1)).alias("word"))
     counts = tokens.groupBy("lang", "word").count().where(F.length("word") <= 40)
     counts = stored(counts, "words")
-    languages = sorted(r["lang"] for r in shares.select("lang").collect())
 
     def most(frame: DataFrame, key: str, bound: int) -> list:
         both = frame.groupBy(key).agg(F.sum("count").alias("n"), F.collect_list("lang").alias("langs"), F.collect_list("count").alias("counts"))
