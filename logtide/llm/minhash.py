@@ -5,12 +5,18 @@ at the value of one of its minwise tokens, so classes of similarity J share the
 probability J. A node of more than `LEAF` members branches on `BRANCHES` further minwise tokens that the node
 chooses, as long as that splits it; a node whose members mostly stay together is dense and ends there.
 
-End nodes are compared exhaustively by their 128 minwise tokens; nodes beyond `LEAF` members in blocks of that
-size. First each node gives a star cover, at most one pair for each member; pairs are confirmed on full shingle
-sets and joined to components. Only members that are still in different components are then paired across a
-whole node, so a group of thousands of copies never emits all its pairs, and no link that changes a component is
-lost. With 12 trees a pair of similarity 0.75 misses every root node with probability 0.25^12; a pair is dropped
-without a look at the full sets only below 74 of 128 equal tokens, which a linked pair does with probability 2e-6.
+Members of an end node are compared exhaustively by their 128 minwise tokens, which ties candidates to clusters; a
+dense node beyond `LEAF` members is tied as a whole. Full shingle sets travel once, to their cluster, and every
+candidate pair of a cluster that is not yet in one component is decided on the full sets:
+
+1. a cluster is cut into blocks of `LEAF`; a block is compared within itself and with a few leaders of the cluster;
+2. where a cluster of several blocks still has several components, the members outside its largest component are
+   compared with all members, block by block.
+
+Inside a block, pairs that are already connected are skipped, so a group of thousands of copies takes about one
+comparison a member and never emits all its pairs, and no link that changes a component is lost. With 12 trees a
+pair of similarity 0.75 misses every root node with probability 0.25^12; a pair is dropped without a look at the
+full sets only below 74 of 128 equal tokens, which a linked pair does with probability 2e-6.
 
 Nulls: a null text is empty; empty texts and texts of blanks link with nothing. A row without doc_id links with
 nothing, has no component and is kept. Rows that repeat a doc_id belong to one document. Ties: the smallest
@@ -39,6 +45,8 @@ LEAF = 512
 BRANCHES = 2
 DENSE = 0.6
 DEPTH = 8
+# Expected number of a large cluster's members that every block of it is compared with.
+LEADERS = 8
 # Fewest equal tokens of 128 for a look at the full sets.
 LEAST_EQUAL = 74
 
@@ -116,92 +124,131 @@ def _alike(tokens: tuple, sizes: tuple) -> np.ndarray:
     return (equal >= LEAST_EQUAL) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
 
 
-def _star_cover(group: Arrays) -> Iterator[tuple]:
-    """Pairs (hub, member): hubs with the most partners first, until every member with a partner is in a pair."""
+def _roots(parents: list[int]) -> list[int]:
+    for i in range(len(parents)):
+        while parents[i] != parents[parents[i]]:
+            parents[i] = parents[parents[i]]
+    return parents
+
+
+def _find(parents: list[int], i: int) -> int:
+    while parents[i] != i:
+        parents[i] = parents[parents[i]]
+        i = parents[i]
+    return i
+
+
+def _tied(group: Arrays) -> Iterator[tuple]:
+    """Ties (member, smallest member) of the candidates in one end node; they form clusters, not links."""
     reps, tokens, sizes = group["rep"], group["tokens"], group["n_shingles"]
     if len(reps) < 2:
         return
-    alike = _alike((tokens, tokens), (sizes, sizes))
-    np.fill_diagonal(alike, False)
-    open_ = alike.any(axis=1)
-    while open_.any():
-        degree = (alike & open_[None, :]).sum(axis=1)
-        hub = min(np.flatnonzero(degree == degree.max()), key=lambda i: reps[i])
-        members = np.flatnonzero(alike[hub] & open_)
-        open_[members] = False
-        open_[hub] = False
-        yield np.minimum(reps[hub], reps[members]), np.maximum(reps[hub], reps[members])
-
-
-def _across(group: Arrays) -> Iterator[tuple]:
-    """Pairs of a block of others with a block of members that may be linked and are in different components."""
-    left, right = np.flatnonzero(group["side"] == 0), np.flatnonzero(group["side"] == 1)
-    if len(left) and len(right):
-        of = lambda column: (group[column][left], group[column][right])
-        parts = of("component")
-        i, j = np.nonzero(_alike(of("tokens"), of("n_shingles")) & (parts[0][:, None] != parts[1][None, :]))
-        a, b = group["rep"][left][i], group["rep"][right][j]
-        yield np.minimum(a, b), np.maximum(a, b)
-
-
-def _blocks(nodes: DataFrame) -> Column:
-    return F.ceil(F.col("size") / LEAF).cast("bigint")
-
-
-def cover_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of a star cover of each node; the blocks of a large one are also tied to the node's smallest member."""
-    blocks = nodes.withColumn("block", F.when(F.col("size") <= LEAF, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("rep"), _blocks(nodes)))))
-    pairs = map_groups(blocks.select("block", "rep", "n_shingles", "tokens"), "block", _star_cover, "a bigint, b bigint")
-    large = nodes.where(F.col("size") > LEAF)
-    least = large.groupBy("node").agg(F.min("rep").alias("a"))
-    return pairs.union(large.join(least, "node").where("a <> rep").select("a", F.col("rep").alias("b"))).distinct()
-
-
-def open_pairs(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that may be linked, of nodes whose members are not all in one component yet.
-
-    Members outside the node's largest known component are set against all members, in blocks of `LEAF`.
-    """
-    placed = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
-    most = counts.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rows = placed.join(most, "node").withColumn("blocks", _blocks(placed)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    columns = ["rep", "n_shingles", "tokens", "component"]
+    if group["size"][0] > LEAF:
+        yield reps, np.full(len(reps), group["least"][0])
+        return
+    i, j = np.nonzero(np.triu(_alike((tokens, tokens), (sizes, sizes)), 1))
+    parents = list(range(len(reps)))
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = _find(parents, x), _find(parents, y)
+        if x != y:
+            parents[max(x, y)] = min(x, y)
+    roots = np.array(_roots(parents))
+    moved = np.flatnonzero(roots != np.arange(len(roots)))
+    yield reps[moved], reps[roots[moved]]
+
+
+def clusters(nodes: DataFrame) -> DataFrame:
+    """(rep, cluster) of every class that has a candidate."""
+    least = nodes.where(F.col("size") > LEAF).groupBy("node").agg(F.min("rep").alias("least"))
+    block = F.when(F.col("size") <= LEAF, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / LEAF))))
+    rows = nodes.join(least, "node", "left").select(block.alias("block"), "size", "least", "rep", "n_shingles", "tokens")
+    ties = map_groups(rows, "block", _tied, "a bigint, b bigint").where("a <> b").distinct()
+    return components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _shared(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _decided(percent: int):
+    """Links of one block: rows of side 0 against all, on full sets, skipping what is already connected."""
+
+    def decide(group: Arrays) -> Iterator[tuple]:
+        reps, side = group["rep"], group["side"]
+        own, other = np.flatnonzero(side == 0), np.arange(len(reps))
+        if not len(own) or len(other) < 2:
+            return
+        tokens, sizes = group["tokens"], group["n_shingles"]
+        alike = _alike((tokens[own], tokens), (sizes[own], sizes))
+        known: dict[int, int] = {}
+        parents = [known.setdefault(int(c), i) for i, c in enumerate(group["component"])]
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.frombuffer(group["shingles"][i], dtype=np.uint64)
+            return sets[i]
+
+        made = []
+        # Rows with many candidates first: a hub connects its group at once, and the rest is skipped.
+        for row in np.argsort(-alike.sum(axis=1), kind="stable").tolist():
+            x = int(own[row])
+            for y in np.flatnonzero(alike[row]).tolist():
+                px, py = _find(parents, x), _find(parents, y)
+                if px != py and _shared(shingles(x), shingles(y), percent):
+                    parents[px] = py
+                    made.append((reps[x], reps[y]))
+        if made:
+            a, b = np.array(made).T
+            yield np.maximum(a, b), np.minimum(a, b)
+
+    return decide
+
+
+_LINKS = "a bigint, b bigint"
+_PAYLOAD = ["rep", "n_shingles", "tokens", "shingles"]
+
+
+def links_within(members: DataFrame, percent: int) -> DataFrame:
+    """Links of every block with itself and with the leaders of its cluster."""
+    leader = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    own = members.select(F.xxhash64("cluster", "mine").alias("cell"), F.lit(0).alias("side"), F.col("rep").alias("component"), *_PAYLOAD)
+    led = members.where("blocks > 1 AND leads").withColumn("other", leader).where("other <> mine")
+    lent = led.select(F.xxhash64("cluster", "other").alias("cell"), F.lit(1).alias("side"), F.col("rep").alias("component"), *_PAYLOAD)
+    return map_groups(own.union(lent), "cell", _decided(percent), _LINKS)
+
+
+def links_across(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between blocks, of clusters that are not one component yet: members outside the largest one against all."""
+    large = members.where("blocks > 1").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counts = large.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    most = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rows = large.join(most, "cluster")
     others = rows.where("component <> most").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    left = others.select(F.xxhash64("node", "mine", "other").alias("cell"), F.lit(0).alias("side"), *columns)
-    cells = others.select("node", F.col("mine").alias("first"), F.col("other").alias("mine")).distinct()
-    right = rows.join(cells, ["node", "mine"]).select(F.xxhash64("node", "first", "mine").alias("cell"), F.lit(1).alias("side"), *columns)
-    return map_groups(left.union(right), "cell", _across, "a bigint, b bigint").distinct()
+    left = others.select(F.xxhash64("cluster", "mine", "other").alias("cell"), F.lit(0).alias("side"), "component", *_PAYLOAD)
+    cells = others.where("other <> mine").select("cluster", F.col("mine").alias("first"), F.col("other").alias("mine")).distinct()
+    right = rows.join(cells, ["cluster", "mine"]).select(F.xxhash64("cluster", "first", "mine").alias("cell"), F.lit(1).alias("side"), "component", *_PAYLOAD)
+    return map_groups(left.union(right), "cell", _decided(percent), _LINKS)
 
 
-def shingle_sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the named documents: full sorted sets, eight bytes a shingle."""
+def cluster_members(documents: DataFrame, classes: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(rep, n_shingles, tokens, shingles, cluster, blocks, mine, leads) of the classes in a cluster."""
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([shingle_set(text, words).tobytes() for text in batch.tolist()])
-
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep")
-    return texts.select("rep", packed("text").alias("shingles")).where(F.length("shingles") > 0)
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets share enough."""
-
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out = []
-            for a, b in zip(left, right, strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pd.Series(out)
+            yield pd.Series([shingle_set(text, words).tobytes() for text in batch.tolist()], dtype=object)
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(linked("left", "right")).select("a", "b")
+    sizes = named.groupBy("cluster").agg(F.count("*").alias("size"), F.min(F.xxhash64("rep")).alias("first"))
+    placed = named.join(sizes, "cluster").join(classes.select("rep", "set_key", "n_shingles", "tokens"), "rep")
+    blocks = F.ceil(F.col("size") / LEAF).cast("bigint")
+    placed = placed.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), blocks))
+    placed = placed.withColumn("leads", (F.xxhash64("rep") == F.col("first")) | (F.pmod(F.xxhash64("rep", F.lit("lead")), F.col("size")) < LEADERS))
+    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep").withColumn("shingles", packed("text"))
+    return texts.select("rep", "n_shingles", "tokens", "shingles", "cluster", "blocks", "mine", "leads")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -214,14 +261,10 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
         ),
         "classes",
     )
-    nodes = end_nodes(classes.select("rep", "n_shingles", "heads", "tokens"))
-    pairs = stored(cover_pairs(nodes), "pairs")
-    # A document named in a pair of either round is a member of some node with a partner, so its set is built once.
-    partners = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = stored(shingle_sets(documents, partners, words), "sets")
-    links = stored(confirmed(pairs, sets, percent), "links")
-    more = stored(open_pairs(nodes, components(links)), "pairs").join(pairs, ["a", "b"], "left_anti")
-    links = links.union(confirmed(more, sets, percent))
+    named = clusters(end_nodes(classes.select("rep", "n_shingles", "heads", "tokens")))
+    members = stored(cluster_members(documents, classes, named, words).where(F.length("shingles") == 8 * F.col("n_shingles")), "members")
+    links = stored(links_within(members, percent), "links")
+    links = links.union(links_across(members, components(links), percent))
     # Rows that repeat a doc_id tie the classes of their texts together.
     repeated = known.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least <> most").select("doc_id")
     of_repeated = known.join(repeated, "doc_id").join(classes.select("set_key", "rep"), "set_key")
