@@ -1,38 +1,66 @@
 """A training corpus from raw documents: quality, language, near-duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir); `run` writes what a stage returns to the shared folder and reads it again
-as the documents of the next one.
+as the documents of the next one. All stages but the last return the columns of the documents they got.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language, quality
+from logtide.llm import bpe, language, minhash, mixing, quality
 from logtide.llm.common import crc_part, replaced, table
 
 # Documents below this probability of their language leave the corpus.
 LEAST_LANGUAGE = 0.5
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents scored below the threshold go."""
     known = table(spark, sf_dir, "labels").where(crc_part("doc_id", 5) != 0)
-    scored = quality.with_score(docs, quality.fit(docs, known), "_quality")
-    return scored.where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    scored = quality.with_score(docs, quality.fit(docs, known), "__quality")
+    return scored.where(F.col("__quality") >= quality.THRESHOLD).drop("__quality")
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters or without a clear language go."""
     model = language.fit(docs.where(crc_part("doc_id", 4) != 2))
-    named = language.with_language(docs, model, "_name", "_sure")
-    return named.where((F.col("_name") != "und") & (F.col("_sure") >= LEAST_LANGUAGE)).drop("_name", "_sure")
+    named = language.with_language(docs, model, "__name", "__sure")
+    return named.where((F.col("__name") != "und") & (F.col("__sure") >= LEAST_LANGUAGE)).drop("__name", "__sure")
 
 
-STAGES = [("quality", keep_quality), ("language", keep_language)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: the document with the smallest id of each component stays, once if its row repeats.
 
-# The classifiers are trained models, which SQL cannot express.
+    Rows without doc_id stay: nothing is known to equal them.
+    """
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    chosen = docs.join(replaced(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where("doc_id IS NULL"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents sampled so that sources, languages and topics meet their target weights."""
+    return mixing.with_probability(docs).where("_kept").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: the number of tokens of each document and the digests of its ids and of its decoded bytes."""
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_language),
+    ("near-dedup", keep_one_of_each),
+    ("mixing", mix),
+    ("tokens", tokenize),
+]
+
+# The classifiers are trained models and the tokenizer is no SQL function.
 ORACLE_SQL = None
 
 
