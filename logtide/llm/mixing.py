@@ -20,7 +20,7 @@ from logtide.llm.common import stored
 
 MARGINS = ("_source", "_lang", "_topic")
 # Powers of the token shares that make the default targets: below 1 lifts small sources, languages and topics.
-POWERS = {"_source": 0.7, "_lang": 0.9, "_topic": 0.9}
+POWERS = {"_source": 0.85, "_lang": 0.95, "_topic": 0.95}
 ROUNDS = 8
 _WORDS = r"[^\x09-\x0D ]+"
 
