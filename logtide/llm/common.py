@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of an Arrow batch from here on: few where a row is large, so that a batch stays small in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+# Rows of a batch of whole texts, and of rows that hold a block of vectors.
+TEXT_ROWS, BLOCK_ROWS = 1_000, 32
+
+
 def crc_part(column: str, parts: int) -> Column:
     """crc32 of the value as text, modulo `parts`; null for a null value."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
@@ -61,4 +70,4 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-__all__ = ["components", "crc_part", "new_path", "replaced", "sample_by_hash", "stored", "table", "texts_of"]
+__all__ = ["BLOCK_ROWS", "TEXT_ROWS", "batch_rows", "components", "crc_part", "new_path", "replaced", "sample_by_hash", "stored", "table", "texts_of"]

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import crc_part, stored
+from logtide.llm.common import TEXT_ROWS, batch_rows, crc_part, stored
 
 # Expected number of training documents of each language, chosen by hash of the id.
 SAMPLE_PER_LANGUAGE = 5_000
@@ -109,6 +109,7 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int
 def with_language(documents: DataFrame, model: Model, predicted: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
     """All columns of the documents, the predicted language and its posterior probability."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    batch_rows(documents.sparkSession, TEXT_ROWS)
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

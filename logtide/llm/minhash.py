@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import components, stored
+from logtide.llm.common import TEXT_ROWS, batch_rows, components, stored
 from logtide.llm.groups import Arrays, map_groups
 from logtide.llm.shingles import mixed, shingle_set
 
@@ -253,6 +253,7 @@ def cluster_members(documents: DataFrame, classes: DataFrame, named: DataFrame,
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of the documents."""
+    batch_rows(documents.sparkSession, TEXT_ROWS)
     rows = stored(documents.select("doc_id", sketches(F.col("text"), words).alias("s")).select("doc_id", "s.*"), "sketches")
     known = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = stored(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import crc_part, sample_by_hash, texts_of
+from logtide.llm.common import TEXT_ROWS, batch_rows, crc_part, sample_by_hash, texts_of
 
 # Labelled rows of each class that the model may learn from.
 SAMPLE_PER_CLASS = 2_000
@@ -143,6 +143,7 @@ def fit(documents: DataFrame, labelled: DataFrame, label: str = "quality", per_c
 def with_score(documents: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
     """All columns of the documents and their score, 0 to 1; higher: label 1 likelier."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    batch_rows(documents.sparkSession, TEXT_ROWS)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

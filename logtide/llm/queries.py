@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logtide.llm import bpe, chat, language, minhash, mixing, quality, toxicity, urls
+from logtide.llm import bpe, chat, language, minhash, mixing, quality, search, toxicity, urls
 from logtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_dual_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "documents"))
 
@@ -47,9 +52,9 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op3_language_id, op4_url_filters, op5_source_mixing, op6_chat_formatting, op7_quality_classifier, op9_toxicity, op10_minhash_near_dedup)
+    found = (op1_byte_bpe, op2_dual_tree_search, op3_language_id, op4_url_filters, op5_source_mixing, op6_chat_formatting, op7_quality_classifier, op9_toxicity, op10_minhash_near_dedup)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urls.sql(), "op5_source_mixing": mixing.sql(), "op6_chat_formatting": chat.sql()}
+    return {"op2_dual_tree_search": search.sql(), "op4_url_filters": urls.sql(), "op5_source_mixing": mixing.sql(), "op6_chat_formatting": chat.sql()}

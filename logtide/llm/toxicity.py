@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import crc_part, sample_by_hash, stored, texts_of
+from logtide.llm.common import TEXT_ROWS, batch_rows, crc_part, sample_by_hash, stored, texts_of
 
 # Labelled rows the model may learn from, by class.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 4_000, 8_000
@@ -169,6 +169,7 @@ def fit(documents: DataFrame, labelled: DataFrame, toxic: int = TOXIC_SAMPLE, cl
 def with_score(documents: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
     """All columns of the documents and their score, 0 to 1; higher: toxic likelier."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    batch_rows(documents.sparkSession, TEXT_ROWS)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
