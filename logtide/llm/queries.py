@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, chat, language, minhash, mixing, quality, search, toxicity, urls
+from logtide.llm import bpe, chat, language, minhash, mixing, quality, search, toxicity, urls, vectors
 from logtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -52,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op2_dual_tree_search, op3_language_id, op4_url_filters, op5_source_mixing, op6_chat_formatting, op7_quality_classifier, op9_toxicity, op10_minhash_near_dedup)
+    found = (op1_byte_bpe, op2_dual_tree_search, op3_language_id, op4_url_filters, op5_source_mixing, op6_chat_formatting, op7_quality_classifier, op8_embedding_near_dedup, op9_toxicity, op10_minhash_near_dedup)
     return {query.__name__: query for query in found}
 
 
