@@ -19,20 +19,17 @@ def ranked(frame: DataFrame, stratum: str, row_id: str, seed: int) -> DataFrame:
 def allocate_quotas(frame: DataFrame, quotas: DataFrame, stratum: str, row_id: str, seed: int = 42) -> DataFrame:
     """Gives each stratum the exact number of rows per category.
 
-    `quotas` is (stratum, category, count): a small configuration table, at most 10,000 rows.
+    `quotas` is (stratum, category, count), of any size; a null stratum is a stratum like others.
     Rows beyond the sum of a stratum's quotas get a null category.
     """
-    if quotas.limit(10_001).count() > 10_000:
-        raise ValueError("The quota table may hold at most 10,000 rows.")
     upto = Window.partitionBy(stratum).orderBy("category").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = quotas.withColumn("_to", F.sum("count").over(upto)).select(
         stratum, "category", (F.col("_to") - F.col("count")).alias("_from"), "_to"
     )
-    # One row per stratum: the ordered quota ranges, searched inside the row.
-    packed = ranges.groupBy(stratum).agg(F.collect_list(F.struct("_from", "_to", "category")).alias("_ranges"))
-    found = ranked(frame, stratum, row_id, seed).join(F.broadcast(packed), stratum, "left")
-    hit = F.filter("_ranges", lambda r: (F.col("rank") > r["_from"]) & (F.col("rank") <= r["_to"]))
-    return found.withColumn("category", F.get(hit, F.lit(0))["category"]).drop("_ranges", "stratum_rows")
+    wanted = ranges.withColumnRenamed(stratum, "_stratum")
+    inside = [F.col(stratum).eqNullSafe(F.col("_stratum")), F.col("rank") > F.col("_from"), F.col("rank") <= F.col("_to")]
+    found = ranked(frame, stratum, row_id, seed).join(wanted, inside, "left")
+    return found.drop("_stratum", "_from", "_to", "stratum_rows")
 
 
 def fixed_size_groups(frame: DataFrame, stratum: str, row_id: str, size: int = 6, seed: int = 42) -> DataFrame:

@@ -107,6 +107,13 @@ def hash_digit(key: Column) -> Column:
     return F.substring(key, 1, 4)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys in which a null equals a null."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
+    return left.join(renamed, same).drop(*[f"_right_{key}" for key in keys])
+
+
 def running_totals(
     frame: DataFrame,
     groups: Sequence[str],
@@ -136,7 +143,7 @@ def running_totals(
             *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before{depth}_{v}") for v in values],
             *([F.sum(v).over(family).alias(f"total_{v}") for v in values] if depth == 1 else []),
         )
-        offsets = level if offsets is None else offsets.join(level, groups + digits[:depth])
+        offsets = level if offsets is None else _null_safe(offsets, level, groups + digits[:depth])
         if depth > 1:
             totals = totals.groupBy(*parent).agg(*[F.sum(v).alias(v) for v in values])
     depths = range(1, len(digits) + 1)
@@ -144,7 +151,7 @@ def running_totals(
     offsets = offsets.select(
         *cell, *[value.alias(f"_before_{v}") for v, value in before.items()], *[f"total_{v}" for v in values]
     )
-    return running.join(offsets, cell).select(
+    return _null_safe(running, offsets, cell).select(
         *frame.columns,
         *[(F.col(f"_run_{v}") + F.col(f"_before_{v}")).alias(f"cum_{v}") for v in values],
         *[f"total_{v}" for v in values],
@@ -176,7 +183,7 @@ def large_positions(large: DataFrame, group: str, time: str, row_id: str = "row_
     """`positions` for groups known to be large: ranked on the keys alone, joined back by unique row."""
     order = [F.col(time).isNull(), F.col(time), F.col(row_id)]
     ranked = range_positions(large.select(group, time, row_id), group, order)
-    return large.join(ranked.select(group, row_id, "position"), [group, row_id])
+    return _null_safe(large, ranked.select(group, row_id, "position"), [group, row_id])
 
 
 def range_positions(keys: DataFrame, group: str, order: Sequence[Column], slice_rows: int = HOT_ROWS) -> DataFrame:

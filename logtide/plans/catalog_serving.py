@@ -20,9 +20,13 @@ def chronological_order(spark, d):
     return with_row_position(rows, [F.col("_timestamp"), F.col("row_id")], "place").select("place", "row_id")
 
 
-@register(f"WITH {V.PREPARED} SELECT row_id, session_id FROM prep ORDER BY _timestamp, session_id LIMIT 500")
+@register(f"WITH {V.PREPARED} SELECT row_number() OVER (ORDER BY _timestamp, session_id, row_id) AS place, row_id, session_id FROM prep")
 def two_key_sorted_head(spark, d):
-    return V.prepared_logs(spark, d).orderBy("_timestamp", "session_id").select("row_id", "session_id").limit(500)
+    from logtide.operators.skew import with_row_position
+
+    rows = V.prepared_logs(spark, d).select("row_id", "session_id", "_timestamp")
+    order = [F.col("_timestamp"), F.col("session_id"), F.col("row_id")]
+    return with_row_position(rows, order, "place").select("place", "row_id", "session_id")
 
 
 @register(

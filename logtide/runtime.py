@@ -31,10 +31,13 @@ def get_spark(app_name: str = "logtide", master: str | None = None, **conf: str)
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's checkpoint setting, a local one only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    app = context.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="logtide-")
     return _local_folders[app]

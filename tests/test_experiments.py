@@ -101,7 +101,7 @@ def test_input_guards(run, prepared):
     else:
         with pytest.raises(ValueError, match="complete session"):
             predict(bundle, prepared)
-        with pytest.raises(ValueError, match="genuine session ID"):
+        with pytest.raises(ValueError, match="session id and a template id"):
             predict(bundle, prepared.withColumn("_session", F.lit("")), session=True)
         unseen = prepared.where("_session = 's1'").withColumn("_template", F.lit("new"))
         row = predict(bundle, unseen, True, [bundle.recommended_model_id]).first()

@@ -181,3 +181,17 @@ def test_one_class_and_undefined_metrics(spark):
     rows = scoring.evidence(scores, F.lit(0.95))
     found = scoring.confusion_metrics(scoring.confusion(rows, ["model_id"])).first()
     assert (found.precision, found.recall, found.f1, found.fpr, found.accuracy) == (0.0, 0.0, 0.0, 0.0, 1.0)
+
+
+def test_null_strata_keep_their_rows(spark):
+    from logtide.operators.allocate import allocate_quotas, fixed_size_groups
+    from logtide.operators.skew import positions
+
+    rows = spark.range(30).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.lit("a")).alias("kind"))
+    quotas = spark.createDataFrame([("a", "x", 5), (None, "y", 4)], "kind string, category string, count bigint")
+    found = {(r["kind"], r["category"]): r["n"] for r in allocate_quotas(rows, quotas, "kind", "row_id").groupBy("kind", "category").agg(F.count("*").alias("n")).collect()}
+    assert found == {("a", "x"): 5, ("a", None): 15, (None, "y"): 4, (None, None): 6}
+    assert fixed_size_groups(rows, "kind", "row_id").count() == 30
+    timed = rows.withColumn("at", F.col("row_id"))
+    for limit in (100, 3):
+        assert sorted(r["position"] for r in positions(timed, "kind", "at", limit=limit).where("kind IS NULL").collect()) == list(range(1, 11))
