@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from logtide.functions import text as T
 from logtide.operators.lexical import count_vectors
 from logtide.operators.skew import key_sizes, salted_lookup, sized_lookup
-from logtide.operators.units import Units
+from logtide.operators.units import Units, whole_sessions
 from logtide.runtime import stored
 
 
@@ -52,25 +53,46 @@ def fit_word_vectors(
     return WordVectors(tuple(r["word"] for r in rows), np.array([r["vector"].toArray() for r in rows]))
 
 
+def untrained(word: str, size: int) -> np.ndarray:
+    """The vector of a word that no training text holds: small, and the same wherever it is made."""
+    seed = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
+    return np.random.default_rng(seed).uniform(-0.5, 0.5, size) / size
+
+
+def with_words(vectors: WordVectors, words: Sequence[str]) -> WordVectors:
+    """Adds words that the fit did not see, each with its untrained vector."""
+    new = sorted(set(words) - set(vectors.words))
+    if not new:
+        return vectors
+    return WordVectors((*vectors.words, *new), np.vstack([vectors.matrix, *[untrained(word, vectors.size) for word in new]]))
+
+
+UNKNOWN = "<unk>"
+
+
 def mean_vectors(
     frame: DataFrame,
     tokens: Column,
     vectors: WordVectors,
     outputs: Mapping[str, Mapping[str, float] | None],
     default_weight: float | None = None,
+    count_unknown: bool = False,
 ) -> DataFrame:
     """Adds, per output name, the weighted mean vector of the known tokens and its total weight.
 
     An output's weights map words to weights (None: every occurrence counts 1); a known word
-    without a weight takes `default_weight`, or is left out when that is None. Token counts are
-    built by JVM expressions in the row itself; the one Arrow step is a small matrix product.
-    Texts without any usable token get zeros. Nothing is shuffled.
+    without a weight takes `default_weight`, or is left out when that is None. With
+    `count_unknown`, every other token counts as one and the same unknown word of that weight.
+    Token counts are built by JVM expressions in the row itself; the one Arrow step is a small
+    matrix product. Texts without any usable token get zeros. Nothing is shuffled.
     """
     if not vectors.words:
         raise ValueError("The embedding has no words.")
     counted = count_vectors(frame.withColumn("_tokens", tokens), "_tokens", list(vectors.words), "_counts")
     parts = F.unwrap_udt(F.col("_counts"))
     counted = counted.withColumn("_i", parts["indices"]).withColumn("_n", parts["values"])
+    spare = F.size("_tokens") - F.aggregate("_n", F.lit(0.0), lambda total, n: total + n) if count_unknown else F.lit(0.0)
+    counted = counted.withColumn("_u", spare.cast("double"))
     spark = frame.sparkSession
     for name, weights in outputs.items():
         if weights is None:
@@ -78,23 +100,35 @@ def mean_vectors(
         else:
             missing = 0.0 if default_weight is None else default_weight
             per_word = np.array([weights.get(word, missing) for word in vectors.words])
-        shared = spark.sparkContext.broadcast((vectors.matrix, per_word))
+        # The unknown word is the last row; a text without unknown words holds it zero times.
+        rows = np.vstack([vectors.matrix, untrained(UNKNOWN, vectors.size)])
+        shared = spark.sparkContext.broadcast((rows, np.append(per_word, 1.0 if weights is None else default_weight or 0.0)))
 
         @F.pandas_udf("struct<vector:array<double>,weight:double>")
-        def averaged(indices: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        def averaged(indices: pd.Series, counts: pd.Series, spare: pd.Series) -> pd.DataFrame:
             matrix, word_weights = shared.value
-            sums = np.zeros((len(indices), matrix.shape[1]))
-            totals = np.zeros(len(indices))
-            for row, (index, count) in enumerate(zip(indices, counts)):
-                weight = count * word_weights[index]
-                totals[row] = weight.sum()
-                if totals[row] > 0:
-                    sums[row] = weight @ matrix[index] / totals[row]
-            return pd.DataFrame({"vector": list(sums), "weight": totals})
-
-        counted = counted.withColumn("_m", averaged("_i", "_n"))
+            sizes = indices.map(len).to_numpy()
+            starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+            places, times = np.full(starts[-1], len(matrix) - 1), np.empty(starts[-1])
+            last = starts[1:] - 1
+            times[last] = spare
+            inner = np.ones(starts[-1], dtype=bool)
+            inner[last] = False
+            if sizes.sum():
+                places[inner], times[inner] = np.concatenate(indices.to_list()), np.concatenate(counts.to_list())
+            weight = times * word_weights[places]
+            totals = np.add.reduceat(weight, starts[:-1]) if len(sizes) else np.zeros(0)
+            sums = np.zeros((len(sizes), matrix.shape[1]))
+            for begin in range(0, len(sizes), 512):
+                end = min(begin + 512, len(sizes))
+                part = slice(starts[begin], starts[end])
+                sums[begin:end] = np.add.reduceat(weight[part, None] * matrix[places[part]], starts[begin:end] - starts[begin], axis=0)
+            means = sums / np.where(totals > 0, totals, 1.0)[:, None] * (totals > 0)[:, None]
+            return pd.DataFrame({"vector": list(means), "weight": totals})
+
+        counted = counted.withColumn("_m", averaged("_i", "_n", "_u"))
         counted = counted.withColumn(name, F.col("_m.vector")).withColumn(f"{name}_weight", F.col("_m.weight")).drop("_m")
-    return counted.drop("_tokens", "_counts", "_i", "_n")
+    return counted.drop("_tokens", "_counts", "_i", "_n", "_u")
 
 
 def text_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, float]) -> DataFrame:
@@ -110,11 +144,11 @@ def session_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, flo
     """Session rows with `mean` and `weighted` key vectors; segments of long sessions are averaged by weight."""
     unknown = max(idf.values()) if idf else 1.0
     outputs = {"mean": None, "weighted": idf}
-    embedded = mean_vectors(units.frame, F.col("log_keys"), vectors, outputs, default_weight=unknown)
+    embedded = mean_vectors(units.frame, F.col("log_keys"), vectors, outputs, default_weight=unknown, count_unknown=True)
     if not units.segmented:
         return embedded.drop("mean_weight", "weighted_weight")
     base = embedded.drop("mean_weight", "weighted_weight")
-    joined = base.where("segments > 1 and segment = 0").drop("mean", "weighted")
+    joined = whole_sessions(base.drop("mean", "weighted"))
     zeros = F.array(*[F.lit(0.0)] * vectors.size)
     for name in outputs:
         # The summarizer refuses a group whose weights are all zero, so such sessions stay out of it.

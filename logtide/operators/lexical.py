@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as types
 
 from logtide.functions import text as T
-from logtide.operators.units import Units
+from logtide.operators.units import Units, whole_sessions
 
 # --- fixed values ---------------------------------------------------------------------------
 MIN_DOCUMENTS = 2
@@ -123,7 +123,7 @@ def whole_unit_counts(counted: DataFrame, vector: str, size: int) -> DataFrame:
     packed = summed.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_e"))
     whole = packed.select("unit_id", sparse_vector(F.col("_e.i"), F.col("_e.v"), size).alias("_whole"))
     short = counted.where("segments = 1")
-    long = counted.where("segments > 1 and segment = 0").join(whole, "unit_id", "left")
+    long = whole_sessions(counted).join(whole, "unit_id", "left")
     empty = sparse_vector(F.array().cast("array<int>"), F.array().cast("array<double>"), size)
     return short.unionByName(long.withColumn(vector, F.coalesce("_whole", empty)).drop("_whole"))
 

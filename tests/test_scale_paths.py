@@ -195,3 +195,28 @@ def test_null_strata_keep_their_rows(spark):
     timed = rows.withColumn("at", F.col("row_id"))
     for limit in (100, 3):
         assert sorted(r["position"] for r in positions(timed, "kind", "at", limit=limit).where("kind IS NULL").collect()) == list(range(1, 11))
+
+
+def test_every_event_counts_in_a_session_vector(spark):
+    import numpy as np
+
+    from logtide.operators import embed
+    from logtide.operators.units import Units
+
+    fitted = embed.with_words(embed.WordVectors(("K1", "K2"), np.array([[1.0, 0.0], [0.0, 1.0]])), ["K1", "BAD"])
+    rows = [("a", ["K1"]), ("b", ["K1", "BAD"]), ("c", ["BAD", "BAD"]), ("d", ["K1", "NEW"]), ("e", ["K1", "OTHER"]), ("f", [])]
+    frame = spark.createDataFrame(rows, "unit_id string, log_keys array<string>")
+    found = {r["unit_id"]: (r["mean"], r["weighted"]) for r in embed.session_embeddings(Units(frame, "sessions"), fitted, {"K1": 1.0, "BAD": 2.0}).collect()}
+    bad, unknown = embed.untrained("BAD", 2), embed.untrained(embed.UNKNOWN, 2)
+    assert np.allclose(found["a"][0], [1, 0]) and np.allclose(found["c"][0], bad)
+    assert np.allclose(found["b"][0], (np.array([1, 0]) + bad) / 2) and np.allclose(found["b"][1], (np.array([1, 0]) + 2 * bad) / 3)
+    assert np.allclose(found["d"][0], (np.array([1, 0]) + unknown) / 2) and found["d"] == found["e"]
+    assert found["f"][0] == [0.0, 0.0]
+
+
+def test_long_sessions_show_their_whole_text(spark, prepared):
+    from logtide.operators.units import session_units
+
+    columns = ["unit_id", "log_text", "_text", "row_ids", "log_keys"]
+    whole, cut = (sorted(map(tuple, session_units(prepared, limit).per_unit.select(*columns).collect())) for limit in (100, 3))
+    assert whole == cut
