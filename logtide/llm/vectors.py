@@ -36,15 +36,27 @@ ROUNDS, AUDIT, RECALL = 6, 512, 0.99
 _SLACK = 1e-6
 
 
+def _unit(vector) -> np.ndarray | None:
+    if vector is None or not len(vector):
+        return None
+    values = np.array(vector, dtype=np.float64)
+    largest = np.abs(values).max()
+    if not np.isfinite(values).all() or largest == 0:
+        return None
+    # Scaled by the largest component first, so that squares neither overflow nor vanish.
+    values /= largest
+    return values / np.sqrt(values @ values)
+
+
 def unit(vector: Column) -> Column:
     """The vector at length 1 in doubles; null if it links with nothing."""
-    values = F.transform(vector, lambda x: x.cast("double"))
-    finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    largest = F.aggregate(values, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
-    scaled = F.transform(values, lambda x: x / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
-    return F.when(finite & (F.size(vector) > 0), F.when(largest > 0, F.transform(scaled, lambda x: x / length)))
+
+    @F.pandas_udf("array<double>")
+    def scaled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([_unit(row) for row in batch], dtype=object)
+
+    return scaled(vector.cast("array<double>"))
 
 
 def _matrix(vectors: np.ndarray) -> np.ndarray:
