@@ -152,7 +152,7 @@ def _trained_evidence(spark, d, representation, clf):
     from logtide.plans.experiment import Settings, train_experiment
 
     labelled = V.document_logs(spark, d, "quality").where("_target is not null").withColumn("_session", F.lit(""))
-    bundle = train_experiment(labelled, Settings(representation=representation, classifier=clf, rf_trees=10, rf_depth=8, max_features=2000))
+    bundle = train_experiment(labelled, Settings(representation=representation, classifier=clf))
     return bundle.evidence.select("model_id", "unit_id", "score", "predicted", "confidence", "threshold", "actual", "outcome")
 
 
@@ -162,7 +162,7 @@ def log_experiment_matrix(spark, d):
     from logtide.plans.experiment import Settings, train_experiment
 
     frame = _neutral_sessions(spark, d)
-    return train_experiment(frame, Settings(classifier="lr", epochs=1, word_size=16)).metrics.drop("confusion_matrix")
+    return train_experiment(frame, Settings(classifier="lr")).metrics.drop("confusion_matrix")
 
 
 @register()
@@ -171,7 +171,7 @@ def session_experiment_matrix(spark, d):
     from logtide.plans.experiment import Settings, train_experiment
 
     frame = _neutral_sessions(spark, d)
-    settings = Settings(group="sessions", classifier="lr", epochs=1, key_size=16)
+    settings = Settings(group="sessions", classifier="lr")
     return train_experiment(frame, settings).metrics.drop("confusion_matrix")
 
 

@@ -144,7 +144,7 @@ def whole_dataset_analysis(spark, d):
     bad = prepare.contradictory_texts(frame, "log_text").withColumnRenamed("text", "log_text")
     frame = salted_lookup(frame, bad.withColumn("_bad", F.lit(True)), "log_text").where("_bad is null").drop("_bad")
     store.save_dataset("documents", frame, audit.dataset_context(frame, source_columns=["log_text", "target", "split"]))
-    run_id = train_run(store, "documents", Settings(representation="tfidf", classifier="lr", max_features=2000))
+    run_id = train_run(store, "documents", Settings(representation="tfidf", classifier="lr"))
     rows, _ = store.analysis(analyze(store, run_id, "documents"))
     return rows.select("unit_id", "predicted", "score", "known_label", "explainability")
 
@@ -152,11 +152,10 @@ def whole_dataset_analysis(spark, d):
 @register()
 def pasted_message_scores(spark, d):
     """The benchmark texts typed in by a user, scored by the recommended configuration."""
-    from logtide.plans.analysis import score_messages
+    from logtide.plans.analysis import score_texts
     from logtide.plans.experiment import Settings, train_experiment
 
     labelled = V.document_logs(spark, d, "quality").where("_target is not null").withColumn("_session", F.lit(""))
-    bundle = train_experiment(labelled, Settings(representation="tfidf", classifier="lr", max_features=2000))
-    # A user may paste at most 100 messages: the limit is the feature.
-    texts = [row["text"] for row in V.table(spark, d, "benchmark").orderBy("item_id").limit(100).collect()]
-    return score_messages(spark, bundle, texts)
+    bundle = train_experiment(labelled, Settings(representation="tfidf", classifier="lr"))
+    rows = V.table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("log_text"))
+    return score_texts(bundle, rows)
