@@ -3,7 +3,7 @@
 Vectors are turned into integers, floor(scale * x). Pivots, chosen far apart from a bounded sample, are the top
 level of one tree over queries and data together: each vector goes to its nearest pivot, pivots are cut into blocks
 of at most about `BLOCK` rows, and each block builds its cover tree, in which a node's radius covers its members and
-halves from level to level. The queries of a block form a tree of their own over the same points.
+its children are far apart and cover them at a smaller one. The queries of a block form a tree of their own over the same points.
 
 A query first takes its best k of its own block. Then a block's queries meet the blocks of a pivot, and in them
 their nodes, only where the bound from both centres and covering radii reaches the worst kth score of the query
@@ -29,7 +29,11 @@ from logtide.llm.groups import Arrays, map_groups
 
 K, SCALE = 20, 64
 # Vectors that the pivots are chosen from, pivots, rows of a block, members of a leaf.
-SAMPLE, PIVOTS, BLOCK, LEAF = 2_048, 64, 1_024, 64
+SAMPLE, PIVOTS, BLOCK, LEAF = 2_048, 64, 1_024, 128
+# Trees that a task keeps while pairs of blocks go by.
+KEPT_TREES = 96
+# Most children of a node.
+CHILDREN = 12
 
 
 def codes(vector: Column, scale: int = SCALE) -> Column:
@@ -83,15 +87,15 @@ class CoverTree:
         self.ranges.append((start, stop))
         self.ends.append(0)
         if stop - start > self.leaf and radius > 0:
-            # Children cover the members at half the radius; their centres are farther apart than that.
+            # Children are chosen far apart until they cover the members at half the radius, `CHILDREN` at most.
             owner, best, found = np.zeros(len(members), dtype=int), distance, [centre]
-            while best.max() > radius / 2:
+            while best.max() > radius / 2 and len(found) < CHILDREN:
                 found.append(int(members[best.argmax()]))
                 new = np.linalg.norm(self.points[members] - self.points[found[-1]], axis=1)
                 owner[new < best] = len(found) - 1
                 best = np.minimum(best, new)
             self.order[start:stop] = members[np.argsort(owner, kind="stable")]
-            if len(found) > 1 and len(found) < len(members) // 2:
+            if len(found) > 1:
                 edges = start + np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(found)))])
                 for child, (a, b) in zip(found, zip(edges[:-1], edges[1:], strict=True), strict=True):
                     if b > a:
@@ -117,8 +121,10 @@ class Best:
         self.worst_id = np.full(queries, np.iinfo(np.int64).max) if worst_id is None else worst_id.copy()
 
     def add(self, query: int, own: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        better = ((scores > self.worst[query]) | ((scores == self.worst[query]) & (ids <= self.worst_id[query]))) & (ids != own)
-        if better.any():
+        worst = self.worst[query]
+        better = np.flatnonzero(scores >= worst)
+        better = better[((scores[better] > worst) | (ids[better] <= self.worst_id[query])) & (ids[better] != own)]
+        if len(better):
             scores, ids = np.concatenate([self.scores[query], scores[better]]), np.concatenate([self.ids[query], ids[better]])
             first = np.lexsort((ids, -scores))[: self.k]
             self.scores[query], self.ids[query] = scores[first], ids[first]
@@ -149,8 +155,8 @@ def dual_search(queries: CoverTree, own: np.ndarray, data: CoverTree, ids: np.nd
         if not q_next and not d_next:
             found = data.order[slice(*data.ranges[d])]
             scores = _products(queries.points[members], data.points[found])
-            for i, query in enumerate(members.tolist()):
-                best.add(query, int(own[query]), scores[i], ids[found])
+            for i in np.flatnonzero((scores >= best.worst[members][:, None]).any(axis=1)).tolist():
+                best.add(int(members[i]), int(own[members[i]]), scores[i], ids[found])
         elif d_next and (not q_next or data.radii[d] >= queries.radii[q]):
             waiting.extend((q, child) for child in sorted(d_next, key=lambda c: queries.points[qc] @ data.points[data.centres[c]]))
         else:
@@ -201,12 +207,21 @@ _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a block's queries and another block."""
+    """Pairs of a block's queries and another block; the trees of the last few blocks are kept, as a block meets many."""
+    trees: dict[tuple[str, int], CoverTree] = {}
+
+    def tree(kind: str, number: int, points: bytes, dims: int) -> CoverTree:
+        if (kind, number) not in trees:
+            if len(trees) >= KEPT_TREES:
+                del trees[next(iter(trees))]
+            trees[kind, number] = CoverTree(_array(points, "<f8", dims))
+        return trees[kind, number]
+
     for batch in batches:
         for row in batch.itertuples(index=False):
             own, ids = _array(row.query_ids, "<i8"), _array(row.ids, "<i8")
             best = Best(len(own), K, _array(row.worst, "<f8"), _array(row.worst_ids, "<i8"))
-            dual_search(CoverTree(_array(row.query_points, "<f8", row.dims)), own, CoverTree(_array(row.points, "<f8", row.dims)), ids, best)
+            dual_search(tree("queries", row.asking, row.query_points, row.dims), own, tree("data", row.node, row.points, row.dims), ids, best)
             sizes = [len(found) for found in best.ids]
             if sum(sizes):
                 yield pd.DataFrame({"query_id": np.repeat(own, sizes), "vec_id": np.concatenate(best.ids), "score": np.concatenate(best.scores).astype(np.int64)})
@@ -286,7 +301,7 @@ def top_k(embeddings: DataFrame, is_query: Column, scale: int = SCALE) -> DataFr
     pairs = stored(pairs.where(may_hold("query_centre", "query_radius", "worst", "centre", "radius")).select("from", "node"), "pairs")
     batch_rows(spark, BLOCK_ROWS)
     met = pairs.join(asked.select("from", "dims", "query_ids", "query_points", "worst", "worst_ids"), "from").join(data.select("node", "ids", "points"), "node")
-    found = met.select("dims", "query_ids", "query_points", "worst", "worst_ids", "ids", "points").mapInPandas(_searched, _FOUND)
+    found = met.select("node", F.col("from").alias("asking"), "dims", "query_ids", "query_points", "worst", "worst_ids", "ids", "points").mapInPandas(_searched, _FOUND)
     own = made.select("found_query", "found_vec", "found_score").mapInPandas(_unpacked, _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = own.union(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K)
