@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from logtide.llm.common import TEXT_ROWS, batch_rows, crc_part, stored
 # Expected number of training documents of each language, chosen by hash of the id.
 SAMPLE_PER_LANGUAGE = 5_000
 # Words and n-grams the model may hold, the most frequent first.
-WORDS, GRAMS = 60_000, 60_000
+WORDS, GRAMS = 50_000, 50_000
 LONGEST = 5
 STEP_DOWN = 0.7
 _CACHE = 200_000
@@ -66,15 +67,12 @@ class Model:
         return self.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
-def _logs(rows: list, languages: list[str], key: str) -> dict[str, np.ndarray]:
+def _logs(found: pa.Table, languages: list[str]) -> dict[str, np.ndarray]:
     """Log frequency of each key in each language, with a half added to every count."""
-    at = {name: i for i, name in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for row in rows:
-        for lang, n in zip(row["langs"], row["counts"], strict=True):
-            counts.setdefault(row[key], np.zeros(len(languages)))[at[lang]] += n
-    totals = sum(counts.values(), np.zeros(len(languages))) + 0.5 * max(1, len(counts))
-    return {name: np.log((c + 0.5) / totals) for name, c in counts.items()}
+    names = found.column(0).to_pylist()
+    counts = np.array([found.column(1 + i).to_numpy() for i in range(len(languages))], dtype=np.float64).reshape(len(languages), -1).T
+    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(names))))
+    return dict(zip(names, logs, strict=True))
 
 
 def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> Model:
@@ -92,18 +90,20 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int
     counts = tokens.groupBy("lang", "word").count().where(F.length("word") <= 40)
     counts = stored(counts, "words")
 
-    def most(frame: DataFrame, key: str, bound: int) -> list:
-        both = frame.groupBy(key).agg(F.sum("count").alias("n"), F.collect_list("lang").alias("langs"), F.collect_list("count").alias("counts"))
-        return both.orderBy(F.desc("n"), key).limit(bound).collect()
+    def most(frame: DataFrame, key: str, bound: int) -> pa.Table:
+        """The most frequent keys with a count for each language."""
+        each = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("count"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+        both = frame.groupBy(key).agg(F.sum("count").alias("n"), *each)
+        return both.orderBy(F.desc("n"), key).limit(bound).drop("n").toArrow()
 
     frequent = most(counts, "word", words)
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     pieces = [F.expr(f"transform(sequence(1, greatest(1, length(w) - {n} + 1)), i -> substring(w, i, {n}))") for n in range(1, LONGEST + 1)]
     spread = counts.withColumn("w", marked).select("lang", "count", F.explode(F.flatten(F.array(*pieces))).alias("gram"))
     common = most(spread.groupBy("lang", "gram").agg(F.sum("count").alias("count")), "gram", grams)
-    by_gram = _logs(common, languages, "gram")
+    by_gram = _logs(common, languages)
     floor = min((row.min() for row in by_gram.values()), default=0.0) - STEP_DOWN * LONGEST
-    return Model(languages, _logs(frequent, languages, "word"), by_gram, np.full(len(languages), floor))
+    return Model(languages, _logs(frequent, languages), by_gram, np.full(len(languages), floor))
 
 
 def with_language(documents: DataFrame, model: Model, predicted: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
