@@ -143,7 +143,7 @@ def _tied(group: Arrays) -> Iterator[tuple]:
     reps, tokens, sizes = group["rep"], group["tokens"], group["n_shingles"]
     if len(reps) < 2:
         return
-    if group["size"][0] > LEAF:
+    if group["dense"][0]:
         yield reps, np.full(len(reps), group["least"][0])
         return
     i, j = np.nonzero(np.triu(_alike((tokens, tokens), (sizes, sizes)), 1))
@@ -161,7 +161,7 @@ def clusters(nodes: DataFrame) -> DataFrame:
     """(rep, cluster) of every class that has a candidate."""
     least = nodes.where(F.col("size") > LEAF).groupBy("node").agg(F.min("rep").alias("least"))
     block = F.when(F.col("size") <= LEAF, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / LEAF))))
-    rows = nodes.join(least, "node", "left").select(block.alias("block"), "size", "least", "rep", "n_shingles", "tokens")
+    rows = nodes.join(least, "node", "left").select(block.alias("block"), (F.col("size") > LEAF).alias("dense"), "least", "rep", "n_shingles", "tokens")
     ties = map_groups(rows, "block", _tied, "a bigint, b bigint").where("a <> b").distinct()
     return components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
@@ -263,7 +263,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
         "classes",
     )
     named = clusters(end_nodes(classes.select("rep", "n_shingles", "heads", "tokens")))
-    members = stored(cluster_members(documents, classes, named, words).where(F.length("shingles") == 8 * F.col("n_shingles")), "members")
+    # Filtered only after it is written: a condition on the sets would move their making in front of the join, to all texts.
+    members = stored(cluster_members(documents, classes, named, words), "members").where(F.length("shingles") == 8 * F.col("n_shingles"))
     links = stored(links_within(members, percent), "links")
     links = links.union(links_across(members, components(links), percent))
     # Rows that repeat a doc_id tie the classes of their texts together.
