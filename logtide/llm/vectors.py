@@ -4,8 +4,9 @@ Equal vectors form a class. A forest of random hyperplane cells gives each class
 NN-descent then join neighbours of neighbours: around each class, those neighbours that are near enough to lead to a
 link are compared with each other, and every list keeps its best. A list whose every entry reaches the threshold is
 saturated and may hide links; it is enlarged to the whole component of its threshold edges, inside which all pairs
-are compared in blocks and only counted. The recall of links is audited on a sample against all vectors, and rounds
-go on with new cells until it reaches `RECALL`, at most `ROUNDS` times; `audit` reports it.
+are compared in blocks and only counted. Recall is audited against all vectors, as the share of sampled classes with
+all their links found, and again of classes with few links alone, which large groups cannot cover up. Rounds go on with
+new cells until both reach `RECALL`; a figure not met after `ROUNDS` rounds is reported by a warning.
 
 A cosine is confirmed in double precision before it counts. Vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, nor do vectors of different length. Rows without an id have no links and no
@@ -15,6 +16,7 @@ the smallest of theirs. Copies are never expanded into pairs: a class carries it
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,13 @@ from logtide.llm.common import batch_rows, components, sample_by_hash, stored
 from logtide.llm.groups import Arrays, map_groups
 
 THRESHOLD = 0.95
-# Neighbours kept of each class, trees of a round, mean cell size, rows compared at once.
+# Neighbours kept of each class, fewest trees of a round, mean cell size, rows compared at once.
 LIST, TREES, CELL, BLOCK = 10, 6, 64, 512
 # Two vectors linked through a third at THRESHOLD have a cosine of at least 2 * THRESHOLD^2 - 1 = 0.805 with each
 # other's links, so neighbours below this lead to no further link of such a chain.
 JOIN_FLOOR = 0.8
-ROUNDS, AUDIT, RECALL = 6, 512, 0.99
+# Rounds at most, classes audited of all and of those with few links found, share to be reached.
+ROUNDS, AUDIT, AUDIT_FEW, RECALL = 30, 512, 2_048, 0.99
 # Cosines are searched with this slack and then confirmed.
 _SLACK = 1e-6
 
@@ -96,9 +99,20 @@ def _best_lists(edges: DataFrame) -> DataFrame:
     return once.withColumn("n", F.row_number().over(order)).where((F.col("n") <= LIST) | F.col("tie")).drop("n")
 
 
+def cell_bits(count: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, count) / CELL))))
+
+
+def tree_count(bits: int) -> int:
+    """Trees in which a pair at `THRESHOLD` shares a cell of so many hyperplanes at least once with a chance of `RECALL`."""
+    shared = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - shared))))
+
+
 def forest(classes: DataFrame, count: int, round_: int) -> DataFrame:
     """First neighbours: classes that share a cell of random hyperplanes, in blocks of `BLOCK`."""
-    bits = max(1, int(np.ceil(np.log2(max(2, count) / CELL))))
+    bits = cell_bits(count)
+    trees = tree_count(bits)
 
     @F.pandas_udf("array<bigint>")
     def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -108,7 +122,7 @@ def forest(classes: DataFrame, count: int, round_: int) -> DataFrame:
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
                 points, codes = _matrix(batch.to_numpy()[at]), []
-                for tree in range(TREES):
+                for tree in range(trees):
                     planes = np.random.default_rng([int(n), round_, tree]).standard_normal((int(n), bits))
                     codes.append((points @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)))
                 for i, row in zip(at, np.stack(codes, axis=1).tolist(), strict=True):
@@ -161,31 +175,46 @@ def counted_links(classes: DataFrame, found: DataFrame) -> DataFrame:
     return map_groups(left.union(right), "cell", _counted, _COUNTS).groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def audit(classes: DataFrame, counts: DataFrame, sample: int = AUDIT) -> float:
-    """Links found, as a share of those that brute force finds for a sample of classes."""
-    asked = sample_by_hash(classes.select("rep", "vector"), "rep", sample).collect()
-    if not asked:
+def audit(classes: DataFrame, counts: DataFrame, sample: int = AUDIT, few: int = AUDIT_FEW) -> float:
+    """Share of sampled linked classes with all the links that brute force finds, or that of classes with few links if lower.
+
+    The classes with few links, `LIST` at most, are drawn from all with so few links found, none included, as a class
+    never has more links found than true ones.
+    """
+    found = classes.select("rep").join(counts, "rep", "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"))
+    of_all = {row["rep"]: row["n"] for row in sample_by_hash(found, "rep", sample).collect()}
+    of_few = {row["rep"]: row["n"] for row in sample_by_hash(found.where(F.col("n") <= LIST), "rep", few).collect()}
+    known = of_all | of_few
+    if not known:
         return 1.0
+    asked = classes.sparkSession.createDataFrame([(rep,) for rep in known], "rep bigint")
     by_length: dict[int, tuple[list, list]] = {}
-    for row in asked:
+    for row in classes.select("rep", "vector").join(F.broadcast(asked), "rep").toLocalIterator():
         ids, points = by_length.setdefault(len(row["vector"]), ([], []))
         ids.append(row["rep"])
-        points.append(row["vector"])
+        points.append(np.array(row["vector"]))
     shared = classes.sparkSession.sparkContext.broadcast({n: (np.array(ids), np.array(points)) for n, (ids, points) in by_length.items()})
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {n: np.zeros(len(ids), dtype=np.int64) for n, (ids, _) in shared.value.items()}
         for batch in batches:
             lengths = batch["vector"].map(len).to_numpy()
             for n in np.unique(lengths):
                 if n in shared.value:
                     ids, points = shared.value[n]
-                    part = batch[lengths == n]
-                    linked = (points @ _matrix(part["vector"].to_numpy()).T >= THRESHOLD) & (ids[:, None] != part["rep"].to_numpy()[None, :])
-                    yield pd.DataFrame({"rep": ids, "n": linked @ part["copies"].to_numpy()})
+                    reps, copies = (batch[c].to_numpy()[lengths == n] for c in ("rep", "copies"))
+                    others = _matrix(batch["vector"].to_numpy()[lengths == n])
+                    i, j = np.nonzero(points @ others.T >= THRESHOLD - _SLACK)
+                    linked = (ids[i] != reps[j]) & (np.einsum("ij,ij->i", points[i], others[j]) >= THRESHOLD)
+                    totals[n] += np.bincount(i[linked], weights=copies[j[linked]], minlength=len(ids)).astype(np.int64)
+        for n, (ids, _) in shared.value.items():
+            yield pd.DataFrame({"rep": ids, "n": totals[n]})
 
     true = classes.select("rep", "vector", "copies").mapInPandas(brute, _COUNTS).groupBy("rep").agg(F.sum("n").alias("true"))
-    row = true.join(counts, "rep", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    true = {row["rep"]: row["true"] for row in true.collect()}
+    whole = [true[rep] == n for rep, n in of_all.items() if true[rep]]
+    whole_few = [true[rep] == n for rep, n in of_few.items() if 0 < true[rep] <= LIST]
+    return min((float(np.mean(part)) for part in (whole, whole_few) if part), default=1.0)
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
@@ -206,6 +235,8 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
         recall = audit(classes, counts)
         if recall >= RECALL:
             break
+    else:
+        warnings.warn(f"Near-duplicate links: recall {recall:.4f} after {ROUNDS} rounds, {RECALL} not met.", RuntimeWarning, stacklevel=2)
     linked = counts.where("n > 0").select("rep", "n")
     named = classes.join(linked, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select(

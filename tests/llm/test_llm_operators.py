@@ -313,3 +313,26 @@ def test_embedding_links_by_brute_force(spark, monkeypatch, block):
             assert (r["n_links"], r["component_id"]) == (degree[r["vec_id"]], want[r["vec_id"]])
             assert r["kept"] == (r["vec_id"] == r["component_id"])
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_embedding_audit_sees_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    centre, pairs = rng.standard_normal(32), rng.standard_normal((20, 32))
+    points = [centre + 0.02 * rng.standard_normal(32) for _ in range(200)]
+    points += [p + 0.02 * rng.standard_normal(32) for p in pairs for _ in range(2)]
+    rows = [(i, (p / np.linalg.norm(p)).tolist(), 1) for i, p in enumerate(points)]
+    classes = spark.createDataFrame(rows, "rep bigint, vector array<double>, copies bigint")
+    # The group is found whole, the isolated pairs are lost: 40 of 39,840 links.
+    group = [(i, 199) for i in range(200)]
+    assert vectors.audit(classes, spark.createDataFrame(group, "rep bigint, n bigint")) == 0.0
+    half = group + [(200 + i, 1) for i in range(20)]
+    assert vectors.audit(classes, spark.createDataFrame(half, "rep bigint, n bigint")) == 0.5
+    whole = group + [(200 + i, 1) for i in range(40)]
+    assert vectors.audit(classes, spark.createDataFrame(whole, "rep bigint, n bigint")) == 1.0
+
+
+def test_embedding_trees_follow_the_bits():
+    for count in (10_000, 1_000_000, 100_000_000):
+        bits = vectors.cell_bits(count)
+        shared = (1 - np.arccos(vectors.THRESHOLD) / np.pi) ** bits
+        assert 1 - (1 - shared) ** vectors.tree_count(bits) >= vectors.RECALL
