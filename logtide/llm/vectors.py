@@ -3,10 +3,10 @@
 Equal vectors form a class. A forest of random hyperplane cells gives each class its first neighbours. Rounds of
 NN-descent then join neighbours of neighbours: around each class, those neighbours that are near enough to lead to a
 link are compared with each other, and every list keeps its best. A list whose every entry reaches the threshold is
-saturated and may hide links; it is enlarged to the whole component of its threshold edges, inside which all pairs
-are compared in blocks and only counted. Recall is audited against all vectors, as the share of sampled classes with
+saturated and may hide links; so every block that is compared also gives a spanning forest of all its links, which
+joins what the lists leave out. Inside a component all pairs are compared in blocks and only counted. Recall is audited against all vectors, as the share of sampled classes with
 all their links found, and again of classes with few links alone, which large groups cannot cover up. Rounds go on with
-new cells until both reach `RECALL`; a figure not met after `ROUNDS` rounds is reported by a warning.
+new cells until one joins no components and both reach `RECALL`; a figure not met after `ROUNDS` rounds is reported by a warning.
 
 A cosine is confirmed in double precision before it counts. Vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, nor do vectors of different length. Rows without an id have no links and no
@@ -74,8 +74,28 @@ def _pairs_of(points: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
 _EDGES = "a bigint, b bigint, cosine double, tie boolean"
 
 
+def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric matrix of links: the fewest that keep its components."""
+    unseen = linked.any(axis=1)
+    left, right = [], []
+    for root in np.flatnonzero(unseen):
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        waiting = [root]
+        while waiting:
+            row = waiting.pop()
+            new = np.flatnonzero(linked[row] & unseen)
+            unseen[new] = False
+            left.append(np.full(len(new), row))
+            right.append(new)
+            waiting.extend(new)
+    none = [np.empty(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
 def _lists(group: Arrays) -> Iterator[tuple]:
-    """The best `LIST` neighbours of each row of a block, and a tie to the first row that it is linked with."""
+    """The best `LIST` neighbours of each row of a block, and ties: a spanning forest of all links of the block."""
     reps, points = group["rep"], _matrix(group["vector"])
     if len(reps) < 2:
         return
@@ -84,19 +104,20 @@ def _lists(group: Arrays) -> Iterator[tuple]:
     k = min(LIST, len(reps) - 1)
     near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
     i, j = np.nonzero(np.take_along_axis(cosines, near, axis=1) >= JOIN_FLOOR)
-    ahead = np.argmax(cosines >= THRESHOLD - _SLACK, axis=1)
-    tied = np.flatnonzero(cosines[np.arange(len(reps)), ahead] >= THRESHOLD - _SLACK)
-    left, right = np.concatenate([i, tied]), np.concatenate([near[i, j], ahead[tied]])
-    exact, tie = _pairs_of(points, left, right), np.arange(len(left)) >= len(i)
-    kept = (reps[left] != reps[right]) & (~tie | (exact >= THRESHOLD))
-    yield reps[left][kept], reps[right][kept], exact[kept], tie[kept]
+    linked = cosines >= THRESHOLD + _SLACK
+    close_i, close_j = np.nonzero((cosines >= THRESHOLD - _SLACK) & ~linked)
+    linked[close_i, close_j] = _pairs_of(points, close_i, close_j) >= THRESHOLD
+    tied, ahead = _spanning(linked)
+    left, right = np.concatenate([i, tied]), np.concatenate([near[i, j], ahead])
+    yield reps[left], reps[right], _pairs_of(points, left, right), np.arange(len(left)) >= len(i)
 
 
 def _best_lists(edges: DataFrame) -> DataFrame:
-    """The best `LIST` entries of every list, and all ties."""
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.bool_or("tie").alias("tie"))
-    return once.withColumn("n", F.row_number().over(order)).where((F.col("n") <= LIST) | F.col("tie")).drop("n")
+    """The best `LIST` entries of every list as `listed`, and all ties."""
+    order = Window.partitionBy("a").orderBy(F.desc("listed"), F.desc("cosine"), "b")
+    once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.bool_or("tie").alias("tie"), F.bool_or("listed").alias("listed"))
+    placed = once.withColumn("n", F.row_number().over(order)).withColumn("listed", F.col("listed") & (F.col("n") <= LIST))
+    return placed.where(F.col("listed") | F.col("tie")).drop("n")
 
 
 def cell_bits(count: int) -> int:
@@ -224,19 +245,27 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     known = stored(units.groupBy("vec_id").agg(F.min("vector").alias("vector")), "units")
     classes = stored(known.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     count = classes.count()
-    lists, recall = None, 0.0
-    counts = found = None
+    lists = found = counts = None
+    joined, recall = 0, 0.0
     for round_ in range(ROUNDS):
-        first = forest(classes, count, round_)
-        lists = stored(_best_lists(first if lists is None else lists.union(first)), "lists")
-        lists = stored(_best_lists(lists.union(neighbours_of_neighbours(classes, lists))), "lists")
-        found = stored(components(lists.where(F.col("cosine") >= THRESHOLD).select("a", "b")), "found")
+        first = forest(classes, count, round_).withColumn("listed", ~F.col("tie"))
+        edges = stored(_best_lists(first if lists is None else first.union(lists)), "lists")
+        more = neighbours_of_neighbours(classes, edges.where("listed")).withColumn("listed", ~F.col("tie"))
+        edges = stored(_best_lists(edges.union(more)), "lists")
+        # Ties live on in the components, so only lists are carried on.
+        lists = edges.where("listed").withColumn("tie", F.lit(False))
+        links = edges.where(F.col("cosine") >= THRESHOLD).select("a", "b")
+        found = stored(components(links if found is None else links.union(found.select("node", "component"))), "found")
+        before, joined = joined, found.where("node <> component").count()
+        if joined > before and round_ < ROUNDS - 1:
+            continue
         counts = stored(counted_links(classes, found), "counts")
         recall = audit(classes, counts)
-        if recall >= RECALL:
+        if recall >= RECALL and joined == before:
             break
     else:
-        warnings.warn(f"Near-duplicate links: recall {recall:.4f} after {ROUNDS} rounds, {RECALL} not met.", RuntimeWarning, stacklevel=2)
+        said = f"recall {recall:.4f} of {RECALL}, {joined - before} components joined by the last round"
+        warnings.warn(f"Near-duplicate links not settled in {ROUNDS} rounds: {said}.", RuntimeWarning, stacklevel=2)
     linked = counts.where("n > 0").select("rep", "n")
     named = classes.join(linked, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select(

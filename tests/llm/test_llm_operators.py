@@ -336,3 +336,18 @@ def test_embedding_trees_follow_the_bits():
         bits = vectors.cell_bits(count)
         shared = (1 - np.arccos(vectors.THRESHOLD) / np.pi) ** bits
         assert 1 - (1 - shared) ** vectors.tree_count(bits) >= vectors.RECALL
+
+
+def test_embedding_groups_joined_by_one_link_stay_together(spark):
+    # Two groups of 30 close vectors; only the last two rows are linked across, in no list and not the first link of a row.
+    gap = np.arccos(vectors.THRESHOLD) - 1e-4
+    angles = [-0.001 * i for i in range(29, 0, -1)] + [gap + 0.001 * i for i in range(29, 0, -1)] + [0.0, gap]
+    points = np.array([[np.cos(a), np.sin(a)] for a in angles])
+    rows = np.empty(len(points), dtype=object)
+    rows[:] = [p.tolist() for p in points]
+    edges = [e for part in vectors._lists({"rep": np.arange(60), "vector": rows}) for e in zip(*part, strict=True)]
+    assert len(set(_components(set(range(60)), [(a, b) for a, b, cosine, _ in edges if cosine >= vectors.THRESHOLD]).values())) == 1
+    assert sum(tie for *_, tie in edges) == 59
+    found = vectors.near_duplicates(spark.createDataFrame(list(enumerate(points.tolist())), "vec_id bigint, embedding array<double>")).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert [r["n_links"] for r in sorted(found, key=lambda r: r["vec_id"])] == [29] * 58 + [30] * 2
