@@ -1,6 +1,8 @@
 """Embedding near-duplicates: a neighbour graph by NN-descent, its threshold edges, and exact link counts.
 
-Equal vectors form a class. A forest of random hyperplane cells gives each class its first neighbours. Rounds of
+Equal vectors form a class. A forest of random hyperplane cells gives each class its first neighbours. A cell of more
+than `BLOCK` rows is split by further hyperplanes through its own mean; what still stays together, or meets in one
+list, is compared in full, block by block. Rounds of
 NN-descent then join neighbours of neighbours: around each class, those neighbours that are near enough to lead to a
 link are compared with each other, and every list keeps its best. A list whose every entry reaches the threshold is
 saturated and may hide links; so every block that is compared also gives a spanning forest of all its links, which
@@ -21,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ LIST, TREES, CELL, BLOCK = 10, 6, 64, 512
 # Two vectors linked through a third at THRESHOLD have a cosine of at least 2 * THRESHOLD^2 - 1 = 0.805 with each
 # other's links, so neighbours below this lead to no further link of such a chain.
 JOIN_FLOOR = 0.8
+# Times that oversized cells are split before their blocks are compared with each other.
+SPLITS = 4
 # Rounds at most, classes audited of all and of those with few links found, share to be reached.
 ROUNDS, AUDIT, AUDIT_FEW, RECALL = 30, 512, 2_048, 0.99
 # Cosines are searched with this slack and then confirmed.
@@ -95,23 +101,44 @@ def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(group: Arrays) -> Iterator[tuple]:
-    """The best `LIST` neighbours of each row of a block, and ties: a spanning forest of all links of the block."""
-    reps, points = group["rep"], _matrix(group["vector"])
-    if len(reps) < 2:
+    """The best `LIST` neighbours of each row of side 0, on side 1 or among themselves without any, and ties.
+
+    Ties are a spanning forest of all links compared.
+    """
+    reps, side, points = group["rep"], group["side"], _matrix(group["vector"])
+    own, paired = np.flatnonzero(side == 0), bool(side.any())
+    other = np.flatnonzero(side == 1) if paired else own
+    if len(own) + paired < 2:
         return
-    cosines = points @ points.T
-    np.fill_diagonal(cosines, -2.0)
-    k = min(LIST, len(reps) - 1)
+    cosines = points[own] @ points[other].T
+    if not paired:
+        np.fill_diagonal(cosines, -2.0)
+    k = min(LIST, len(other) - (not paired))
     near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
     i, j = np.nonzero(np.take_along_axis(cosines, near, axis=1) >= JOIN_FLOOR)
-    linked = cosines >= THRESHOLD + _SLACK
-    close_i, close_j = np.nonzero((cosines >= THRESHOLD - _SLACK) & ~linked)
-    linked[close_i, close_j] = _pairs_of(points, close_i, close_j) >= THRESHOLD
-    tied, ahead = _spanning(linked)
-    left, right = np.concatenate([i, tied]), np.concatenate([near[i, j], ahead])
+    found = cosines >= THRESHOLD + _SLACK
+    close_i, close_j = np.nonzero((cosines >= THRESHOLD - _SLACK) & ~found)
+    found[close_i, close_j] = _pairs_of(points, own[close_i], other[close_j]) >= THRESHOLD
+    linked = np.zeros((len(reps), len(reps)), dtype=bool)
+    linked[np.ix_(own, other)] = found
+    tied, ahead = _spanning(linked | linked.T)
+    left, right = np.concatenate([own[i], tied]), np.concatenate([other[near[i, j]], ahead])
     yield reps[left], reps[right], _pairs_of(points, left, right), np.arange(len(left)) >= len(i)
 
 
+def _in_blocks(rows: DataFrame, group: str, classes: DataFrame, *columns: str) -> DataFrame:
+    """(cell, side, rep, columns): every pair of blocks of `BLOCK` of the (group, rep) rows, the rows of the first on side 0."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"))
+    placed = rows.join(sizes, group).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    ways = F.array(
+        F.struct(F.xxhash64(group, "mine", "other").alias("cell"), F.lit(0).alias("side")),
+        F.when(F.col("other") != F.col("mine"), F.struct(F.xxhash64(group, "other", "mine").alias("cell"), F.lit(1).alias("side"))),
+    )
+    both = placed.select("rep", F.explode(F.filter(ways, lambda way: way.isNotNull())).alias("way")).select("rep", "way.cell", "way.side")
+    return both.join(classes.select("rep", *columns), "rep")
+
+
 def _best_lists(edges: DataFrame) -> DataFrame:
     """The best `LIST` entries of every list as `listed`, and all ties."""
     order = Window.partitionBy("a").orderBy(F.desc("listed"), F.desc("cosine"), "b")
@@ -130,40 +157,68 @@ def tree_count(bits: int) -> int:
     return max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - shared))))
 
 
+def _codes(points: np.ndarray, bits: int, *seed: int) -> np.ndarray:
+    planes = np.random.default_rng(seed).standard_normal((points.shape[1], bits))
+    return (points @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _split(cells: DataFrame, classes: DataFrame, round_: int, depth: int) -> DataFrame:
+    """Cells of more than `BLOCK` rows split by hyperplanes through their means; the others stay."""
+
+    @F.pandas_udf("bigint")
+    def codes(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for vectors, means, trees, bits in batches:
+            out = np.zeros(len(vectors), dtype=np.int64)
+            asked = pd.DataFrame({"n": vectors.map(len), "tree": trees, "bits": bits}).reset_index(drop=True)
+            for (n, tree, wanted), part in asked.groupby(["n", "tree", "bits"]):
+                at = part.index.to_numpy()
+                points = _matrix(vectors.to_numpy()[at]) - _matrix(means.to_numpy()[at])
+                out[at] = _codes(points, int(wanted), int(n), round_, int(tree), depth)
+            yield pd.Series(out)
+
+    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK), "sizes")
+    if sizes.isEmpty():
+        return cells
+    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.col("rows") / CELL))).cast("int")
+    hot = stored(cells.join(sizes.select("cell", bits.alias("bits")), "cell").join(classes.select("rep", "vector"), "rep"), "hot")
+    means = hot.groupBy("cell").agg(vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("mean"))
+    parts = hot.join(means, "cell").select("rep", "tree", F.xxhash64("cell", codes("vector", "mean", "tree", "bits")).alias("cell"))
+    return stored(cells.join(sizes, "cell", "left_anti").select("rep", "tree", "cell").union(parts), "cells")
+
+
 def forest(classes: DataFrame, count: int, round_: int) -> DataFrame:
-    """First neighbours: classes that share a cell of random hyperplanes, in blocks of `BLOCK`."""
+    """First neighbours: classes that share a cell of random hyperplanes."""
     bits = cell_bits(count)
     trees = tree_count(bits)
 
     @F.pandas_udf("array<bigint>")
-    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out: list = [None] * len(batch)
             lengths = batch.map(len).to_numpy()
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
-                points, codes = _matrix(batch.to_numpy()[at]), []
-                for tree in range(trees):
-                    planes = np.random.default_rng([int(n), round_, tree]).standard_normal((int(n), bits))
-                    codes.append((points @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)))
-                for i, row in zip(at, np.stack(codes, axis=1).tolist(), strict=True):
+                points = _matrix(batch.to_numpy()[at])
+                found = [_codes(points, bits, int(n), round_, tree) for tree in range(trees)]
+                for i, row in zip(at, np.stack(found, axis=1).tolist(), strict=True):
                     out[i] = row
             yield pd.Series(out)
 
-    spread = classes.select("rep", "vector", F.posexplode(cells("vector")).alias("tree", "code"))
-    spread = stored(spread.withColumn("cell", F.xxhash64(F.lit(round_), "tree", "code", F.size("vector"))), "cells")
-    sizes = spread.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"))
-    cut = spread.join(sizes, "cell").select(F.xxhash64("cell", F.pmod(F.xxhash64("rep", "tree"), F.col("parts"))).alias("block"), "rep", "vector")
-    return map_groups(cut, "block", _lists, _EDGES)
+    spread = classes.select("rep", F.size("vector").alias("n"), F.posexplode(codes("vector")).alias("tree", "code"))
+    cells = stored(spread.select("rep", "tree", F.xxhash64(F.lit(round_), "tree", "code", "n").alias("cell")), "cells")
+    for depth in range(SPLITS):
+        split = _split(cells, classes, round_, depth)
+        if split is cells:
+            break
+        cells = split
+    return map_groups(_in_blocks(cells.select("cell", "rep").withColumnRenamed("cell", "group"), "group", classes, "vector"), "cell", _lists, _EDGES)
 
 
 def neighbours_of_neighbours(classes: DataFrame, lists: DataFrame) -> DataFrame:
     """Compares the near neighbours of each class, listed from either end, with each other."""
     near = lists.where(F.col("cosine") >= JOIN_FLOOR).select("a", "b")
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    sizes = both.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"))
-    placed = both.join(sizes, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("block"), F.col("b").alias("rep"))
-    return map_groups(placed.join(classes.select("rep", "vector"), "rep"), "block", _lists, _EDGES)
+    return map_groups(_in_blocks(both.select("a", F.col("b").alias("rep")), "a", classes, "vector"), "cell", _lists, _EDGES)
 
 
 _COUNTS = "rep bigint, n bigint"
@@ -187,13 +242,8 @@ def _counted(group: Arrays) -> Iterator[tuple]:
 def counted_links(classes: DataFrame, found: DataFrame) -> DataFrame:
     """(rep, n): vectors linked with each class in its component, by all pairs of the component in blocks."""
     named = found.withColumnRenamed("node", "rep")
-    sizes = named.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"))
-    rows = named.join(sizes, "component").join(classes.select("rep", "vector", "copies"), "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    rows = stored(rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))), "members")
-    columns = ["rep", "vector", "copies"]
-    left = rows.select(F.xxhash64("component", "mine", "other").alias("cell"), F.lit(0).alias("side"), *columns)
-    right = rows.where("other <> mine").select(F.xxhash64("component", "other", "mine").alias("cell"), F.lit(1).alias("side"), *columns)
-    return map_groups(left.union(right), "cell", _counted, _COUNTS).groupBy("rep").agg(F.sum("n").alias("n"))
+    rows = _in_blocks(named, "component", classes, "vector", "copies")
+    return map_groups(rows, "cell", _counted, _COUNTS).groupBy("rep").agg(F.sum("n").alias("n"))
 
 
 def audit(classes: DataFrame, counts: DataFrame, sample: int = AUDIT, few: int = AUDIT_FEW) -> float:

@@ -345,9 +345,23 @@ def test_embedding_groups_joined_by_one_link_stay_together(spark):
     points = np.array([[np.cos(a), np.sin(a)] for a in angles])
     rows = np.empty(len(points), dtype=object)
     rows[:] = [p.tolist() for p in points]
-    edges = [e for part in vectors._lists({"rep": np.arange(60), "vector": rows}) for e in zip(*part, strict=True)]
+    edges = [e for part in vectors._lists({"rep": np.arange(60), "side": np.zeros(60, dtype=int), "vector": rows}) for e in zip(*part, strict=True)]
     assert len(set(_components(set(range(60)), [(a, b) for a, b, cosine, _ in edges if cosine >= vectors.THRESHOLD]).values())) == 1
     assert sum(tie for *_, tie in edges) == 59
     found = vectors.near_duplicates(spark.createDataFrame(list(enumerate(points.tolist())), "vec_id bigint, embedding array<double>")).collect()
     assert {r["component_id"] for r in found} == {0}
     assert [r["n_links"] for r in sorted(found, key=lambda r: r["vec_id"])] == [29] * 58 + [30] * 2
+
+
+@pytest.mark.parametrize("splits", [0, 4])
+def test_embedding_cells_beyond_a_block_are_compared_whole(spark, monkeypatch, splits):
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "SPLITS", splits)
+    # A common offset puts all vectors in one cell of hyperplanes through the origin, nearly always.
+    rng = np.random.default_rng(7)
+    points = 0.4 * rng.standard_normal((150, 24)) + 40 * np.eye(24)[0]
+    points = np.concatenate([points, points + 0.001 * rng.standard_normal(points.shape)])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "rep bigint, vector array<double>")
+    found = {(r["a"], r["b"]) for r in vectors.forest(classes, 300, 0).where("not tie").collect()}
+    assert sum((i, 150 + i) in found for i in range(150)) >= (150 if splits == 0 else 149)
