@@ -158,21 +158,20 @@ def _trained_evidence(spark, d, representation, clf):
 
 @register()
 def log_experiment_matrix(spark, d):
-    """All five representations with logistic regression on logs: one metrics row each."""
+    """All five representations with both classifiers on logs: one metrics row each."""
     from logtide.plans.experiment import Settings, train_experiment
 
     frame = _neutral_sessions(spark, d)
-    return train_experiment(frame, Settings(classifier="lr")).metrics.drop("confusion_matrix")
+    return train_experiment(frame, Settings()).metrics.drop("confusion_matrix")
 
 
 @register()
 def session_experiment_matrix(spark, d):
-    """All five representations with logistic regression on sessions: one metrics row each."""
+    """All five representations with both classifiers on sessions: one metrics row each."""
     from logtide.plans.experiment import Settings, train_experiment
 
     frame = _neutral_sessions(spark, d)
-    settings = Settings(group="sessions", classifier="lr")
-    return train_experiment(frame, settings).metrics.drop("confusion_matrix")
+    return train_experiment(frame, Settings(group="sessions")).metrics.drop("confusion_matrix")
 
 
 @register()
@@ -182,7 +181,7 @@ def saved_bundle_scoring(spark, d):
     from logtide.runtime import new_path
 
     frame = _neutral_sessions(spark, d)
-    bundle = train_experiment(frame, Settings(representation="tfidf", classifier="lr"))
+    bundle = train_experiment(frame, Settings())
     path = new_path(spark, "bundle")
     bundle.save(path, spark)
     rows = predict(Bundle.load(path, spark), frame)
