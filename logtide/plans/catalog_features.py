@@ -279,12 +279,20 @@ def weighted_vector_mean(spark, d):
 @register()
 def log_word_embedding_features(spark, d):
     """Skip-gram fit on train logs, then plain and IDF-weighted means, scaled, per log."""
+    from pyspark.ml.functions import vector_to_array
+
     from logtide.plans.experiment import FeatureSpace, Settings
 
     built = units.log_units(V.prepared_logs(spark, d))
-    space = FeatureSpace.fit(_train(built), Settings(representation="concat", epochs=1, word_size=32).checked())
+    space = FeatureSpace.fit(_train(built), Settings(representation="concat").checked())
     parts = F.unwrap_udt(F.col("concat"))
-    return space.transform(built).select("unit_id", parts["size"].alias("size"), F.size(parts["values"]).alias("entries"))
+    return space.transform(built).select(
+        "unit_id",
+        parts["size"].alias("size"),
+        F.size(parts["values"]).alias("entries"),
+        vector_to_array("embedding").alias("embedding"),
+        vector_to_array("weighted").alias("weighted"),
+    )
 
 
 @register()
@@ -295,7 +303,7 @@ def session_embedding_features(spark, d):
     from logtide.plans.experiment import FeatureSpace, Settings
 
     built = V.event_sessions(spark, d)
-    space = FeatureSpace.fit(_train(built), Settings(group="sessions", representation="weighted", epochs=1, key_size=16).checked())
+    space = FeatureSpace.fit(_train(built), Settings(group="sessions", representation="weighted").checked())
     return space.transform(built).select(
         "unit_id",
         vector_to_array("embedding").alias("embedding"),

@@ -2,8 +2,8 @@
 
 import pytest
 
-from logtide.plans import catalog_scoring, experiment
-from logtide.plans.experiment import Settings
+from logtide.plans import catalog_features, catalog_scoring, experiment
+from logtide.plans.experiment import FeatureSpace, Settings
 
 
 class _Asked(Exception):
@@ -29,3 +29,12 @@ def test_model_queries_train_every_configuration(monkeypatch, name, wanted):
     settings = found.value.args[0]
     assert settings == wanted
     assert len(settings.representations) * len(settings.classifiers) == 10
+
+
+@pytest.mark.parametrize("name, size", [("log_word_embedding_features", 100), ("session_embedding_features", 64)])
+def test_embedding_queries_return_vectors_of_full_size(spark, folder, monkeypatch, name, size):
+    epochs, fit = [], FeatureSpace.fit
+    monkeypatch.setattr(FeatureSpace, "fit", lambda train, settings: epochs.append(settings.epochs) or fit(train, settings))
+    rows = getattr(catalog_features, name)(spark, folder).limit(20).collect()
+    assert epochs == [5]
+    assert rows and all(len(r["embedding"]) == len(r["weighted"]) == size for r in rows)
