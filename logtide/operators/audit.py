@@ -141,18 +141,22 @@ def distinct_counts(frame: DataFrame, columns: Sequence[str], approximate: bool
     return reduce(DataFrame.unionByName, parts)
 
 
-def value_lists(frame: DataFrame, columns: Sequence[str], max_values: int = 1_000) -> DataFrame:
+def value_rows(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value): distinct values, a row each, at any size."""
+    parts = [frame.select(F.lit(column).alias("column"), quoted(column).cast("string").alias("value")).distinct() for column in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def value_lists(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, values): sorted distinct values of category columns, as one string array each.
 
-    Values are made distinct by aggregation before they are collected, and a column with more
-    than `max_values` values is refused: such a list is a table, see `value_counts`.
+    Values are made distinct by aggregation before they are collected. A list is one row however
+    long it is; `value_rows` gives long ones as a table.
     """
-    parts = []
-    for column in columns:
-        distinct = frame.select(quoted(column).cast("string").alias("v")).distinct()
-        if distinct.limit(max_values + 1).count() > max_values:
-            raise ValueError(f"Column '{column}' has more than {max_values} values.")
-        parts.append(distinct.agg(F.lit(column).alias("column"), F.sort_array(F.collect_set("v")).alias("values")))
+    parts = [
+        value_rows(frame, [column]).agg(F.lit(column).alias("column"), F.sort_array(F.collect_set("value")).alias("values"))
+        for column in columns
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -160,7 +160,7 @@ def session_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, flo
 
 
 def token_means(tokens: DataFrame, vectors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(unit_id, mean) in long form: (unit_id, token) rows joined to (token, vector) and (token, weight).
+    """(unit_id, mean, mean_weight) in long form: (unit_id, token) rows joined to (token, vector) and (token, weight).
 
     Occurrences are counted per unit and token before any join, lookups are broadcast only after
     a size check, and the average is taken by the ML summarizer.
@@ -169,8 +169,10 @@ def token_means(tokens: DataFrame, vectors: DataFrame, weights: DataFrame | None
     found = sized_lookup(counted, vectors, "token", "inner")
     if weights is not None:
         found = sized_lookup(found, weights, "token", "inner").withColumn("_w", F.col("_w") * F.col("weight"))
-    averaged = found.where("_w > 0").groupBy("unit_id").agg(Summarizer.mean(array_to_vector("vector"), F.col("_w")).alias("_m"))
-    return averaged.select("unit_id", vector_to_array("_m").alias("mean"))
+    averaged = found.where("_w > 0").groupBy("unit_id").agg(
+        Summarizer.mean(array_to_vector("vector"), F.col("_w")).alias("_m"), F.sum("_w").alias("mean_weight")
+    )
+    return averaged.select("unit_id", vector_to_array("_m").alias("mean"), "mean_weight")
 
 
 @dataclass(frozen=True)

@@ -28,7 +28,7 @@ def link_edges(frame: DataFrame) -> DataFrame:
     return pairs.where("hi is not null and lo is not null").distinct()
 
 
-def component_roots(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+def component_roots(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root) for every node of `edges` that is not itself a root.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): the rounds needed grow
@@ -38,14 +38,13 @@ def component_roots(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_
     """
     current = pinned(edges.select("hi", "lo"))
     fingerprint = _fingerprint(current)
-    for _ in range(max_rounds):
+    while True:
         salted = fingerprint[0] > hot_rows
         current = pinned(_small_star(_large_star(current, salted), salted))
         found = _fingerprint(current)
         if found == fingerprint:
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         fingerprint = found
-    raise RuntimeError(f"Connected groups did not settle in {max_rounds} rounds.")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

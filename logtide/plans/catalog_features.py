@@ -197,18 +197,13 @@ def weighted_token_embedding(spark, d):
     FROM chat c LEFT JOIN toks t ON c.row_id = t.unit_id LEFT JOIN vec v ON t.token = v.token GROUP BY 1"""
 )
 def row_wise_mean_embedding(spark, d):
-    """The narrow form: counts and the matrix product stay in the row, zeros without known tokens."""
-    import numpy as np
-
+    """A mean for every row, zeros without known tokens; the vocabulary stays a table, whatever its size."""
     tokens = _chat_tokens(spark, d)
-    table = _token_vectors(tokens)
-    if table.limit(200_001).count() > 200_000:
-        raise ValueError("Use token_means for vocabularies this large.")
-    rows = sorted(table.collect(), key=lambda r: r["token"])
-    vectors = embed.WordVectors(tuple(r["token"] for r in rows), np.array([r["vector"] for r in rows]))
-    chats = V.chat_rows(spark, d).select(F.col("row_id").alias("unit_id"), "_text")
-    found = embed.mean_vectors(chats, T.whitespace_tokens(F.col("_text")), vectors, {"mean": None})
-    return found.select("unit_id", F.round(F.col("mean")[0], 6).alias("m1"), F.col("mean_weight").alias("known"))
+    means = embed.token_means(tokens, _token_vectors(tokens).drop("weight"))
+    chats = V.chat_rows(spark, d).select(F.col("row_id").alias("unit_id"))
+    found = chats.join(means, "unit_id", "left")
+    first, known = (F.coalesce(c, F.lit(0.0)) for c in (F.col("mean")[0], F.col("mean_weight")))
+    return found.select("unit_id", F.round(first, 6).alias("m1"), known.alias("known"))
 
 
 @register(
