@@ -115,8 +115,9 @@ class Centres:
 
     def __post_init__(self) -> None:
         narrow = all(abs(x) <= NARROW for row in self.rows for x in row)
-        object.__setattr__(self, "codes", np.array(self.rows, dtype=np.int64) if narrow else None)
-        object.__setattr__(self, "apexes", self.simplex.apexes(self.codes) if narrow else None)
+        codes = np.array(self.rows, dtype=np.int64).reshape(len(self.rows), self.simplex.pivots.shape[1]) if narrow else None
+        object.__setattr__(self, "codes", codes)
+        object.__setattr__(self, "apexes", self.simplex.apexes(codes) if narrow else None)
 
     def nearest(self, codes: np.ndarray, apexes: np.ndarray) -> tuple[np.ndarray, list[int], int]:
         """(cluster, squared distance) of each vector of narrow components, and how many pairs were compared."""
