@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,13 @@ from logtide.operators.units import Units, whole_sessions
 from logtide.runtime import stored
 
 
+# Numbers of a vector table that may be held on the driver and broadcast: 32 MB as doubles.
+HELD_NUMBERS = 4_000_000
+
+
 @dataclass(frozen=True)
 class WordVectors:
-    """Fitted vectors. Spark's Word2Vec keeps its whole vocabulary on the driver while fitting,
-    so what is held here is never larger than what the estimator itself needs."""
+    """Vectors of a vocabulary of proven size, held as one matrix."""
 
     words: tuple[str, ...]
     matrix: np.ndarray
@@ -34,23 +38,42 @@ class WordVectors:
         return self.matrix.shape[1]
 
 
-def fit_word_vectors(
-    tokens: DataFrame,
-    size: int = 100,
-    epochs: int = 5,
-    min_count: int = 2,
-    window: int = 5,
-    seed: int = 42,
-    partitions: int = 1,
-) -> WordVectors:
-    """Skip-gram vectors over an array column `tokens`. One partition repeats exactly; raise it at scale."""
+@dataclass(frozen=True)
+class WordTable:
+    """Fitted vectors as a table (word, vector, weight) of `rows` rows; a null weight leaves a word out of weighted means."""
+
+    frame: DataFrame
+    size: int
+    rows: int
+
+    @cached_property
+    def held(self) -> tuple[WordVectors, dict[str, float]] | None:
+        """Matrix and weights, if they are small enough to be broadcast."""
+        if self.rows * self.size > HELD_NUMBERS:
+            return None
+        rows = sorted(self.frame.collect(), key=lambda row: row["word"])
+        matrix = np.array([row["vector"] for row in rows]).reshape(len(rows), self.size)
+        weights = {row["word"]: row["weight"] for row in rows if row["weight"] is not None}
+        return WordVectors(tuple(row["word"] for row in rows), matrix), weights
+
+
+def skip_gram_vectors(tokens: DataFrame, size: int, epochs: int, min_count: int, seed: int, window: int = 5, partitions: int = 1) -> DataFrame:
+    """(word, vector) by Spark's Word2Vec over an array column `tokens`.
+
+    The estimator keeps its vocabulary on the driver and repeats exactly with one partition only; `factor.word_vectors`
+    has neither limit.
+    """
     estimator = Word2Vec(
         vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
         numPartitions=partitions, inputCol="tokens", outputCol="_vector",
     )
-    rows = estimator.fit(tokens.select("tokens")).getVectors().collect()
-    rows.sort(key=lambda row: row["word"])
-    return WordVectors(tuple(r["word"] for r in rows), np.array([r["vector"].toArray() for r in rows]))
+    return estimator.fit(tokens.select("tokens")).getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+def word_table(vectors: DataFrame, weights: DataFrame, size: int) -> WordTable:
+    """Puts (word, weight) rows beside (word, vector) rows, each with one row per word."""
+    joined = stored(vectors.join(weights, "word", "left").select("word", "vector", "weight"), "word-table")
+    return WordTable(joined, size, joined.count())
 
 
 def untrained(word: str, size: int) -> np.ndarray:
@@ -59,12 +82,15 @@ def untrained(word: str, size: int) -> np.ndarray:
     return np.random.default_rng(seed).uniform(-0.5, 0.5, size) / size
 
 
-def with_words(vectors: WordVectors, words: Sequence[str]) -> WordVectors:
+def with_words(vectors: DataFrame, words: DataFrame, size: int) -> DataFrame:
     """Adds words that the fit did not see, each with its untrained vector."""
-    new = sorted(set(words) - set(vectors.words))
-    if not new:
-        return vectors
-    return WordVectors((*vectors.words, *new), np.vstack([vectors.matrix, *[untrained(word, vectors.size) for word in new]]))
+
+    @F.pandas_udf("array<double>")
+    def fresh(new: pd.Series) -> pd.Series:
+        return pd.Series([untrained(word, size) for word in new])
+
+    new = words.select("word").distinct().join(vectors, "word", "left_anti")
+    return vectors.select("word", "vector").unionByName(new.select("word", fresh("word").alias("vector")))
 
 
 UNKNOWN = "<unk>"
@@ -131,17 +157,46 @@ def mean_vectors(
     return counted.drop("_tokens", "_counts", "_i", "_n", "_u")
 
 
-def text_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, float]) -> DataFrame:
+def _joined_means(frame: DataFrame, key: str, tokens: Column, table: WordTable, default_weight: float | None = None) -> DataFrame:
+    """(key, mean, weighted) for every value of `key`: the tokens are joined to the table, whatever its size.
+
+    With a default weight unknown tokens count as the unknown word of that weight, else they are left out.
+    """
+    counted = frame.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    found = salted_lookup(counted, table.frame, "word", "inner" if default_weight is None else "left")
+    if default_weight is not None:
+        unknown = F.array(*[F.lit(float(x)) for x in untrained(UNKNOWN, table.size)])
+        found = found.withColumn("vector", F.coalesce("vector", unknown)).withColumn("weight", F.coalesce("weight", F.lit(default_weight)))
+    found = stored(found.select(key, "vector", "_n", (F.col("_n") * F.col("weight")).alias("_w")), "found-tokens")
+    zeros = F.array(*[F.lit(0.0)] * table.size)
+    result = frame.select(key).distinct()
+    for name, weight in (("mean", "_n"), ("weighted", "_w")):
+        # The summarizer refuses a group whose weights are all zero.
+        means = found.where(F.col(weight) > 0).groupBy(key).agg(Summarizer.mean(array_to_vector("vector"), F.col(weight)).alias("_m"))
+        result = result.join(means.select(key, vector_to_array("_m").alias(name)), key, "left")
+    return result.select(key, F.coalesce("mean", zeros).alias("mean"), F.coalesce("weighted", zeros).alias("weighted"))
+
+
+def text_embeddings(units: Units, table: WordTable) -> DataFrame:
     """Unit rows with `mean` and `weighted` arrays. Each distinct text is embedded once."""
     distinct = stored(key_sizes(units.frame, "_text"), "texts")
-    outputs = {"mean": None, "weighted": idf}
-    embedded = mean_vectors(distinct.select("_text"), T.whitespace_tokens(F.col("_text")), vectors, outputs)
-    lookup = embedded.drop("mean_weight", "weighted_weight")
+    tokens = T.whitespace_tokens(F.col("_text"))
+    if table.held is None:
+        lookup = _joined_means(distinct, "_text", tokens, table)
+    else:
+        vectors, idf = table.held
+        embedded = mean_vectors(distinct.select("_text"), tokens, vectors, {"mean": None, "weighted": idf})
+        lookup = embedded.drop("mean_weight", "weighted_weight")
     return salted_lookup(units.frame, lookup, "_text", "inner", sizes=distinct)
 
 
-def session_embeddings(units: Units, vectors: WordVectors, idf: Mapping[str, float]) -> DataFrame:
+def session_embeddings(units: Units, table: WordTable) -> DataFrame:
     """Session rows with `mean` and `weighted` key vectors; segments of long sessions are averaged by weight."""
+    if table.held is None:
+        unknown = table.frame.agg(F.max("weight")).first()[0]
+        means = _joined_means(units.frame, "unit_id", F.col("log_keys"), table, 1.0 if unknown is None else unknown)
+        return units.per_unit.join(means, "unit_id")
+    vectors, idf = table.held
     unknown = max(idf.values()) if idf else 1.0
     outputs = {"mean": None, "weighted": idf}
     embedded = mean_vectors(units.frame, F.col("log_keys"), vectors, outputs, default_weight=unknown, count_unknown=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,15 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def rows_at_most(frame: DataFrame, bound: int) -> bool:
     """Size check that never reads more than `bound + 1` rows into the count."""
     return frame.limit(bound + 1).count() <= bound
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch for what runs inside: few where a row holds a block of numbers or a slice of a file."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

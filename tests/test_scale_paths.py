@@ -80,7 +80,7 @@ def test_segments_hold_the_whole_session(spark, prepared):
     assert cut.frame.agg(F.max(F.size("log_keys"))).first()[0] == 3
 
 
-def test_segment_borders_do_not_show_in_features(spark, prepared):
+def test_segment_borders_do_not_show_in_features(spark, prepared, monkeypatch):
     frame = prepared.withColumn("_session", F.when(F.col("row_id") % 5 == 0, "hot").otherwise(F.col("_session")))
     whole, cut = units.session_units(frame), units.session_units(frame, limit=2)
     tf = [{(r.term, r.tf, r.df) for r in lexical.term_frequencies(u).collect()} for u in (whole, cut)]
@@ -95,10 +95,15 @@ def test_segment_borders_do_not_show_in_features(spark, prepared):
         {tuple(r[c] for c in columns) for r in events.session_events(u, n).collect()} for u, n in ((whole, skew.GROUP_ROWS), (cut, 2))
     ]
     assert seen[0] == seen[1]
-    words = embed.WordVectors(("T0-0", "T0-1", "T1-2"), __import__("numpy").arange(6.0).reshape(3, 2))
-    means = [_by_unit(embed.session_embeddings(u, words, {"T0-0": 1.0, "T0-1": 2.0}), "mean", "weighted") for u in (whole, cut)]
+    rows = [("T0-0", [0.0, 1.0], 1.0), ("T0-1", [2.0, 3.0], 2.0), ("T1-2", [4.0, 5.0], None)]
+    table = spark.createDataFrame(rows, "word string, vector array<double>, weight double")
+    means = []
+    for numbers in (embed.HELD_NUMBERS, 0):
+        monkeypatch.setattr(embed, "HELD_NUMBERS", numbers)
+        means += [_by_unit(embed.session_embeddings(u, embed.WordTable(table, 2, 3)), "mean", "weighted") for u in (whole, cut)]
     for key, (mean, weighted) in means[0].items():
-        assert mean == pytest.approx(means[1][key][0]) and weighted == pytest.approx(means[1][key][1])
+        for other in means[1:]:
+            assert mean == pytest.approx(other[key][0]) and weighted == pytest.approx(other[key][1])
 
 
 def test_masking_counts_and_repeatability(spark):
@@ -197,16 +202,21 @@ def test_null_strata_keep_their_rows(spark):
         assert sorted(r["position"] for r in positions(timed, "kind", "at", limit=limit).where("kind IS NULL").collect()) == list(range(1, 11))
 
 
-def test_every_event_counts_in_a_session_vector(spark):
+@pytest.mark.parametrize("numbers", [1_000, 0])
+def test_every_event_counts_in_a_session_vector(spark, monkeypatch, numbers):
     import numpy as np
 
     from logtide.operators import embed
     from logtide.operators.units import Units
 
-    fitted = embed.with_words(embed.WordVectors(("K1", "K2"), np.array([[1.0, 0.0], [0.0, 1.0]])), ["K1", "BAD"])
+    monkeypatch.setattr(embed, "HELD_NUMBERS", numbers)
+    vectors = spark.createDataFrame([("K1", [1.0, 0.0]), ("K2", [0.0, 1.0])], "word string, vector array<double>")
+    known = spark.createDataFrame([("K1",), ("BAD",)], "word string")
+    weights = spark.createDataFrame([("K1", 1.0), ("BAD", 2.0)], "word string, weight double")
+    fitted = embed.word_table(embed.with_words(vectors, known, 2), weights, 2)
     rows = [("a", ["K1"]), ("b", ["K1", "BAD"]), ("c", ["BAD", "BAD"]), ("d", ["K1", "NEW"]), ("e", ["K1", "OTHER"]), ("f", [])]
     frame = spark.createDataFrame(rows, "unit_id string, log_keys array<string>")
-    found = {r["unit_id"]: (r["mean"], r["weighted"]) for r in embed.session_embeddings(Units(frame, "sessions"), fitted, {"K1": 1.0, "BAD": 2.0}).collect()}
+    found = {r["unit_id"]: (r["mean"], r["weighted"]) for r in embed.session_embeddings(Units(frame, "sessions"), fitted).collect()}
     bad, unknown = embed.untrained("BAD", 2), embed.untrained(embed.UNKNOWN, 2)
     assert np.allclose(found["a"][0], [1, 0]) and np.allclose(found["c"][0], bad)
     assert np.allclose(found["b"][0], (np.array([1, 0]) + bad) / 2) and np.allclose(found["b"][1], (np.array([1, 0]) + 2 * bad) / 3)
