@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions import text as T
 from logtide.operators.prepare import find_column, quoted
-from logtide.operators.skew import HOT_ROWS, salted_lookup, sized_lookup
-from logtide.runtime import pinned
+from logtide.operators.skew import HOT_ROWS, salted_lookup, sized_lookup, with_row_position
+from logtide.runtime import stored
+
+# Edges that a task contracts at a time: 32 MB of numbers.
+CONTRACTED_ROWS = 2_000_000
 
 # Node prefixes keep scenario and session ids apart and make a scenario the smallest node.
 SCENARIO, SESSION, ROW = "A:", "B:", "R:"
@@ -29,28 +36,81 @@ def link_edges(frame: DataFrame) -> DataFrame:
 
 
 def component_roots(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(node, root) for every node of `edges` that is not itself a root.
+    """(node, root) for every node of `edges` that is not itself a root; the root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): the rounds needed grow
-    with the logarithm of the longest chain. Each step is a minimum per node, combined before
-    the shuffle, joined back to the edges. Nodes that hold very many edges are salted. Every
-    round is checkpointed, and the loop ends when a round changes no edge.
+    Nodes get dense numbers in their own order first, so that rounds shuffle pairs of longs only.
     """
-    current = pinned(edges.select("hi", "lo"))
-    fingerprint = _fingerprint(current)
+    edges = stored(edges.select("hi", "lo"), "edges")
+    nodes = edges.select(F.col("hi").alias("node")).unionByName(edges.select(F.col("lo").alias("node"))).distinct()
+    names = stored(with_row_position(nodes, [F.col("node")], "id"), "nodes")
+    for end in ("hi", "lo"):
+        named = names.select(F.col("node").alias(end), F.col("id").alias("_id"))
+        # Adaptive execution splits what a hot node brings together.
+        edges = edges.join(named, end).drop(end).withColumnRenamed("_id", end)
+    roots = number_roots(edges, hot_rows)
+    found = roots.join(names.select(F.col("id").alias("lo"), F.col("node").alias("root")), "lo")
+    return found.join(names.select(F.col("id").alias("hi"), "node"), "hi").select("node", "root")
+
+
+def number_roots(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(hi, lo) with one row per node that is no root, lo its root, from pairs of longs.
+
+    Each round first replaces the edges of a task, `CONTRACTED_ROWS` of them, by stars around the smallest nodes they
+    reach; what fits one task is then done. Otherwise it takes a large-star and a small-star step (Kiveris et al., 2014).
+    A step is a minimum per node, combined before the shuffle, and a join, salted at nodes with very many edges. Edges
+    say whether a step moved them; the rounds end when none was.
+    """
+    current = stored(edges.where("hi <> lo").select(F.col("hi").cast("bigint"), F.col("lo").cast("bigint")), "numbered")
+    while True:
+        tasks = -(-current.count() // CONTRACTED_ROWS)
+        current = contracted(current.coalesce(max(1, tasks)))
+        if tasks <= 1:
+            # All edges met in one task's share: its stars are the result.
+            return current
+        salted = current.count() > hot_rows
+        after = stored(_small_star(_large_star(current, salted), salted), "round")
+        if after.where("moved").isEmpty():
+            return after.select("hi", "lo")
+        current = after.select("hi", "lo")
+
+
+def stars(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable by these edges) of every node that reaches a smaller one."""
+    nodes, flat = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    left, right = flat[: len(hi)], flat[len(hi) :]
+    parent = np.arange(len(nodes))
     while True:
-        salted = fingerprint[0] > hot_rows
-        current = pinned(_small_star(_large_star(current, salted), salted))
-        found = _fingerprint(current)
-        if found == fingerprint:
-            return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        fingerprint = found
+        a, b = parent[left], parent[right]
+        apart = a != b
+        if not apart.any():
+            below = parent != np.arange(len(nodes))
+            return nodes[below], nodes[parent[below]]
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges with the same components, for each lot of rows at most one per node; nothing is shuffled."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            hi, lo = stars(*(np.concatenate([pair[k] for pair in held]) for k in range(2)))
+            return pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["hi", "lo"])
 
+        for batch in batches:
+            held.append((batch.column("hi").to_numpy(), batch.column("lo").to_numpy()))
+            size += batch.num_rows
+            if size >= CONTRACTED_ROWS:
+                yield made()
+                held, size = [], 0
+        if size:
+            yield made()
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    mixed = F.xxhash64("hi", "lo")
-    found = edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum(F.pmod(mixed, F.lit(1_000_003)))).first()
-    return tuple(found)
+    return stored(edges.mapInArrow(contract, "hi bigint, lo bigint"), "contracted")
 
 
 def _with_minimum(edges: DataFrame, minimum: DataFrame, key: str, salted: bool) -> DataFrame:
@@ -63,15 +123,16 @@ def _large_star(edges: DataFrame, salted: bool) -> DataFrame:
         edges.select(F.col("hi").alias("lo"), F.col("lo").alias("other"))
     )
     minimum = both.groupBy("lo").agg(F.min("other").alias("m")).select("lo", F.least("lo", "m").alias("m"))
-    return _with_minimum(edges, minimum, "lo", salted).select("hi", F.col("m").alias("lo"))
+    return _with_minimum(edges, minimum, "lo", salted).select("hi", F.col("m").alias("lo"), (F.col("lo") != F.col("m")).alias("moved"))
 
 
 def _small_star(edges: DataFrame, salted: bool) -> DataFrame:
     """Smaller neighbours of each node, and the node itself, move to the smallest of them."""
-    minimum = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = _with_minimum(edges, minimum, "hi", salted).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    own = minimum.select("hi", F.col("m").alias("lo"))
-    return moved.where("hi <> lo").unionByName(own).distinct()
+    minimum = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.bool_or("moved").alias("moved"))
+    apart = _with_minimum(edges.select("hi", "lo"), minimum.select("hi", "m"), "hi", salted).where("lo <> m")
+    others = apart.select(F.col("lo").alias("hi"), F.col("m").alias("lo"), F.lit(True).alias("moved"))
+    own = minimum.select("hi", F.col("m").alias("lo"), "moved")
+    return others.unionByName(own).groupBy("hi", "lo").agg(F.bool_or("moved").alias("moved"))
 
 
 def connected_groups(frame: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logtide.functions import text as T
-from logtide.operators import embed, events, lexical, units
+from logtide.operators import embed, events, factor, lexical, units
 from logtide.operators.skew import salted_lookup
 from logtide.plans import views as V
 from logtide.plans.catalog import register
@@ -271,9 +271,27 @@ def weighted_vector_mean(spark, d):
     return long.select("label", F.col("dimension").cast("bigint").alias("dimension"), F.round("value", 5).alias("value"))
 
 
+@register(
+    f"""WITH {_LOG_UNITS}, t AS (SELECT unit_id, regexp_extract_all(_text, '\\S+') AS w FROM lu), p AS (SELECT unit_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM t),
+    known AS (SELECT word FROM p GROUP BY 1 HAVING count(*) >= 2),
+    near AS (SELECT a.word AS a, b.word AS b, 6 - (b.at - a.at) AS n FROM p a JOIN p b ON a.unit_id = b.unit_id AND b.at > a.at AND b.at <= a.at + 5),
+    m AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM near UNION ALL SELECT b, a, n FROM near) WHERE a IN (FROM known) AND b IN (FROM known) GROUP BY ALL),
+    s AS (SELECT a, sum(n) AS s FROM m GROUP BY 1), v AS (SELECT m.a, m.b, ln(n * (SELECT sum(n) FROM m)::DOUBLE / (x.s::DOUBLE * y.s)) AS value
+      FROM m JOIN s x ON x.a = m.a JOIN s y ON y.a = m.b)
+    SELECT a AS word, b AS near, round(value, 6) AS score FROM v WHERE value > 1e-6"""
+)
+def near_word_scores(spark, d):
+    """The matrix that word vectors are factored from, over all logs, with words for numbers."""
+    tokens = units.log_units(V.prepared_logs(spark, d)).frame.select(T.whitespace_tokens(F.col("_text")).alias("tokens"))
+    words = factor.numbered_words(factor.word_counts(tokens, 2))
+    found = factor.entries(factor.near_pairs(tokens, 5), words, 1.0).where("value > 1e-6")
+    named = found.join(words.select(F.col("id").alias("i"), "word"), "i").join(words.select(F.col("id").alias("j"), F.col("word").alias("near")), "j")
+    return named.select("word", "near", F.round("value", 6).alias("score"))
+
+
 @register()
 def log_word_embedding_features(spark, d):
-    """Skip-gram fit on train logs, then plain and IDF-weighted means, scaled, per log."""
+    """Word vectors factored from train logs, then plain and IDF-weighted means, scaled, per log."""
     from pyspark.ml.functions import vector_to_array
 
     from logtide.plans.experiment import FeatureSpace, Settings
