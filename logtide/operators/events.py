@@ -40,7 +40,7 @@ def longest_session(train: Units) -> int:
     return int(train.frame.agg(F.max("event_count")).first()[0] or 0)
 
 
-def session_events(units: Units, limit: int = GROUP_ROWS) -> DataFrame:
+def session_events(units: Units) -> DataFrame:
     """(unit_id, position, key, previous, following, event_count), one row per event, positions from 1.
 
     Neighbours come from the segment's own array; only its two ends look across a border.
@@ -51,11 +51,11 @@ def session_events(units: Units, limit: int = GROUP_ROWS) -> DataFrame:
     after = F.concat(F.slice("log_keys", F.lit(2), size - 1), F.array(F.coalesce("trail_key", F.lit(_END))))
     zipped = F.arrays_zip(F.col("log_keys").alias("k"), before.alias("p"), after.alias("n"))
     rows = frame.select(
-        "unit_id", "segment", "event_count", "_target", "_split", F.posexplode(zipped).alias("_at", "_e")
+        "unit_id", "offset", "event_count", "_target", "_split", F.posexplode(zipped).alias("_at", "_e")
     )
     return rows.select(
         "unit_id",
-        (F.col("segment").cast("bigint") * limit + F.col("_at") + 1).alias("position"),
+        (F.col("offset") + F.col("_at") + 1).alias("position"),
         F.col("_e.k").alias("key"),
         F.col("_e.p").alias("previous"),
         F.col("_e.n").alias("following"),
@@ -67,7 +67,7 @@ def session_events(units: Units, limit: int = GROUP_ROWS) -> DataFrame:
 
 def key_sequences(units: Units, vocabulary: DataFrame, max_events: int, limit: int = GROUP_ROWS) -> DataFrame:
     """(unit_id, segment, ids): keys as ids, unknown keys as UNK, cut after `max_events` events."""
-    events = session_events(units, limit).where(F.col("position") <= max_events).select("unit_id", "position", "key")
+    events = session_events(units).where(F.col("position") <= max_events).select("unit_id", "position", "key")
     mapped = sized_lookup(events, vocabulary, "key")
     segment = F.floor((F.col("position") - 1) / limit).cast("int").alias("segment")
     packed = mapped.groupBy("unit_id", segment).agg(

@@ -90,7 +90,7 @@ def fit_lexicon(train: Units, max_features: int = LOG_FEATURES, min_df: int = MI
     rows = sorted(vocabulary(term_frequencies(train), max_features, min_df).collect(), key=lambda r: r["term"])
     if not rows:
         raise ValueError("No term appears in enough training units.")
-    documents = train.per_unit.count()
+    documents = train.heads.count()
     return Lexicon(
         tuple(r["term"] for r in rows), tuple(r["df"] for r in rows), tuple(r["tf"] for r in rows), documents
     )
@@ -163,5 +163,5 @@ def key_idf(train: Units) -> DataFrame:
     if train.segmented:
         keys = keys.distinct()
     counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    documents = train.per_unit.agg(F.count(F.lit(1)).alias("n")).scalar()
+    documents = train.heads.agg(F.count(F.lit(1)).alias("n")).scalar()
     return counted.withColumn("idf", smooth_idf(F.col("df"), documents))

@@ -68,14 +68,21 @@ def sized_lookup(
 
 
 def split_by_size(
-    frame: DataFrame, key: str, limit: int = GROUP_ROWS, max_rows: int = BROADCAST_ROWS
+    frame: DataFrame,
+    key: str,
+    limit: int = GROUP_ROWS,
+    max_rows: int = BROADCAST_ROWS,
+    size: Column | None = None,
+    size_limit: int = 0,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups within `limit`, rows of larger groups or None).
+    """(rows of groups within `limit` rows and `size_limit` summed over `size`, rows of larger groups or None).
 
     Group sizes come from one aggregation over the key column. The list of large groups is
     broadcast only when it was counted to be small.
     """
-    large = frame.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key)
+    total = F.lit(0) if size is None else F.sum(size)
+    sizes = frame.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), total.alias("_size"))
+    large = sizes.where((F.col("_n") > limit) | (F.col("_size") > size_limit)).select(key)
     found = large.limit(max_rows + 1).count()
     if found == 0:
         return frame, None
@@ -188,15 +195,21 @@ def large_positions(large: DataFrame, group: str, time: str, row_id: str = "row_
 
 def range_positions(keys: DataFrame, group: str, order: Sequence[Column], slice_rows: int = HOT_ROWS) -> DataFrame:
     """Position inside each group from an even range partitioning of (group, order)."""
-    wanted = -(-keys.count() // slice_rows)
-    slices = max(wanted, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keys.repartitionByRange(slices, F.col(group), *order)
-    # Pinned, so that the totals and the rows below see the same slices.
-    sliced = pinned(ranged.select("*", F.spark_partition_id().alias("_slice"), F.lit(1).cast("bigint").alias("_one")))
-    summed = running_totals(sliced, [group], ["_slice"], order, ["_one"])
+    ones = keys.withColumn("_one", F.lit(1).cast("bigint"))
+    summed = range_totals(ones, group, order, ["_one"], slice_rows)
     return summed.select(*keys.columns, F.col("cum__one").alias("position"))
 
 
+def range_totals(rows: DataFrame, group: str, order: Sequence[Column], values: Sequence[str], slice_rows: int = HOT_ROWS) -> DataFrame:
+    """`running_totals` inside each group over an even range partitioning of (group, order)."""
+    wanted = -(-rows.count() // slice_rows)
+    slices = max(wanted, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(slices, F.col(group), *order)
+    # Pinned, so that the totals and the rows below see the same slices.
+    sliced = pinned(ranged.select("*", F.spark_partition_id().alias("_slice")))
+    return running_totals(sliced, [group], ["_slice"], order, values)
+
+
 def with_row_position(frame: DataFrame, order_by: Sequence[Column] | None = None, name: str = "row_id") -> DataFrame:
     """Dense 1-based position over the whole table.
 

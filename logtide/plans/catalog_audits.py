@@ -304,7 +304,7 @@ def hourly_timeline(spark, d):
 
 @register(f"WITH {V.SESSIONS} SELECT date_trunc('hour', start_time) AS time, CAST(sum(_target) AS BIGINT) AS count FROM sess GROUP BY 1")
 def session_timeline(spark, d):
-    units = V.event_sessions(spark, d).per_unit.select(F.col("_target").alias("predicted"), "start_time")
+    units = V.event_sessions(spark, d).heads.select(F.col("_target").alias("predicted"), "start_time")
     return audit.hourly_timeline(units, "start_time").withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 

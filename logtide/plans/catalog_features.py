@@ -52,7 +52,7 @@ def document_vocabulary(spark, d):
 def session_vocabulary_idf(spark, d):
     built = _train(V.chat_sessions(spark, d))
     vocabulary = lexical.vocabulary(lexical.term_frequencies(built), lexical.SESSION_FEATURES)
-    n = built.per_unit.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = built.heads.agg(F.count(F.lit(1)).alias("n")).scalar()
     return vocabulary.withColumn("idf", F.round(lexical.smooth_idf(F.col("df"), n), 6))
 
 
@@ -151,7 +151,7 @@ def event_masking(spark, d):
 def segmented_event_masking(spark, d):
     """The same events from sessions held as two-event segments and ranked by running totals."""
     built = units.session_units(V.chat_rows(spark, d), limit=2)
-    rows = events.masked_events(events.session_events(built, limit=2), limit=1)
+    rows = events.masked_events(events.session_events(built), limit=1)
     return rows.select("unit_id", "position", "key", "previous", "following", "masked")
 
 

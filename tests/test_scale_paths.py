@@ -92,7 +92,7 @@ def test_segment_borders_do_not_show_in_features(spark, prepared, monkeypatch):
         assert abs(vector.toArray() - vectors[1][key].toArray()).max() < 1e-9
     columns = ("unit_id", "position", "key", "previous", "following")
     seen = [
-        {tuple(r[c] for c in columns) for r in events.session_events(u, n).collect()} for u, n in ((whole, skew.GROUP_ROWS), (cut, 2))
+        {tuple(r[c] for c in columns) for r in events.session_events(u).collect()} for u in (whole, cut)
     ]
     assert seen[0] == seen[1]
     rows = [("T0-0", [0.0, 1.0], 1.0), ("T0-1", [2.0, 3.0], 2.0), ("T1-2", [4.0, 5.0], None)]
@@ -110,7 +110,7 @@ def test_masking_counts_and_repeatability(spark):
     rows = [(f"u{n}", 0, [f"k{i}" for i in range(n)], n) for n in (1, 2, 5, 15, 40)]
     frame = spark.createDataFrame(rows, "unit_id string, segment int, log_keys array<string>, event_count bigint")
     blank = F.lit(None).cast("string")
-    frame = frame.select("*", blank.alias("lead_key"), blank.alias("trail_key"), F.lit(0).alias("_target"), blank.alias("_split"))
+    frame = frame.select("*", blank.alias("lead_key"), blank.alias("trail_key"), F.lit(0).alias("_target"), blank.alias("_split"), F.lit(0).alias("offset"))
     base = events.session_events(units.Units(frame, "sessions"))
     sets = [
         {(r.unit_id, r.position) for r in events.masked_events(base, limit=n).where("masked").collect()} for n in (10**6, 3)
@@ -230,3 +230,36 @@ def test_long_sessions_show_their_whole_text(spark, prepared):
     columns = ["unit_id", "log_text", "_text", "row_ids", "log_keys"]
     whole, cut = (sorted(map(tuple, session_units(prepared, limit).per_unit.select(*columns).collect())) for limit in (100, 3))
     assert whole == cut
+
+
+def test_segments_are_cut_at_bytes_and_events(spark):
+    rows = [(i, "big", f"k{i % 7}", i, "x" * (1 + i % 50)) for i in range(5_000)] + [(9_000 + i, f"s{i % 3}", "k", i, "y") for i in range(9)]
+    frame = spark.createDataFrame(rows, "row_id bigint, _session string, _template string, t bigint, _text string").withColumn("_timestamp", F.timestamp_seconds("t"))
+    built = units.session_units(frame, limit=100, limit_bytes=4_000)
+    parts = sorted((r for r in built.frame.where("unit_id = 'big'").collect()), key=lambda r: r["segment"])
+    assert [r["segment"] for r in parts] == list(range(len(parts))) and {r["segments"] for r in parts} == {len(parts)}
+    sizes = [len(r["log_keys"]) for r in parts]
+    assert max(sizes) <= 100 and [r["offset"] for r in parts] == [sum(sizes[:i]) for i in range(len(sizes))] and sum(sizes) == 5_000
+    assert max(2 * sum(map(len, r["log_text"].split("\n"))) for r in parts) <= 4_000 + 100
+    assert [k for r in parts for k in r["log_keys"]] == [f"k{i % 7}" for i in range(5_000)]
+    assert {r["event_count"] for r in parts} == {5_000} and {r["text_bytes"] for r in parts} == {2 * sum(1 + i % 50 for i in range(5_000))}
+    assert built.frame.where("segments = 1").count() == 3 == built.heads.count() - 1
+
+
+def test_a_row_shows_the_first_segment_of_a_session_that_outgrows_it(spark, prepared, monkeypatch):
+    cut = units.session_units(prepared, limit=3)
+    first = {r["unit_id"]: r["_text"] for r in cut.heads.collect()}
+    whole = {r["unit_id"]: r["_text"] for r in cut.per_unit.collect()}
+    assert whole.keys() == first.keys() and all(len(whole[u]) > len(first[u]) for u in first)
+    monkeypatch.setattr(units, "WHOLE_BYTES", 0)
+    assert {r["unit_id"]: r["_text"] for r in cut.per_unit.collect()} == first
+    lexicon = lexical.fit_lexicon(cut, 500)
+    assert lexical.tfidf_vectors(cut, lexicon).count() == len(first)
+
+
+def test_the_first_known_label_of_a_session(spark):
+    rows = [(1, "a", "k", None), (2, "a", "k", 1), (3, "a", "k", 0), (4, "b", "k", None)]
+    frame = spark.createDataFrame(rows, "row_id bigint, _session string, _template string, _target int").withColumn("_text", F.lit("x"))
+    for limit in (100, 1):
+        found = {r["unit_id"]: (r["first_label"], r["_target"]) for r in units.session_units(frame, limit).heads.collect()}
+        assert found == {"a": (1, None), "b": (None, None)}
