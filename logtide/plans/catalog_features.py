@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logtide.functions import text as T
-from logtide.operators import embed, events, factor, lexical, units
+from logtide.operators import context, embed, events, factor, lexical, units
 from logtide.operators.skew import salted_lookup
 from logtide.plans import views as V
 from logtide.plans.catalog import register
@@ -308,9 +308,40 @@ def log_word_embedding_features(spark, d):
     )
 
 
+@register(
+    f"""WITH {V.SESSIONS}, known AS (SELECT DISTINCT unnest(log_keys) AS k FROM sess WHERE _split = 'train'),
+    e0 AS (SELECT unit_id, _split, _target, unnest(log_keys) AS k, generate_subscripts(log_keys, 1) AS i FROM sess),
+    e1 AS (SELECT unit_id, _split, _target, i, CASE WHEN k IN (FROM known) THEN k ELSE '[UNK]' END AS k FROM e0
+      WHERE i <= (SELECT max(event_count) FROM sess WHERE _split = 'train')),
+    e AS (SELECT *, coalesce(lag(k) OVER w, '[DIST]') AS p, coalesce(lead(k) OVER w, '[PAD]') AS n FROM e1 WINDOW w AS (PARTITION BY unit_id ORDER BY i)),
+    c3 AS (SELECT p, n, k, count(*) AS c FROM e WHERE _split = 'train' AND _target = 0 GROUP BY ALL), s3 AS (SELECT p, n, sum(c) AS c, count(*) AS d FROM c3 GROUP BY ALL),
+    cl AS (SELECT p, k, sum(c) AS c FROM c3 GROUP BY ALL), sl AS (SELECT p, sum(c) AS c, count(*) AS d FROM cl GROUP BY ALL),
+    cr AS (SELECT n, k, sum(c) AS c FROM c3 GROUP BY ALL), sr AS (SELECT n, sum(c) AS c, count(*) AS d FROM cr GROUP BY ALL),
+    c1 AS (SELECT k, sum(c) AS c FROM c3 GROUP BY ALL),
+    q1 AS (SELECT e.*, (coalesce(c1.c, 0) + 1) / CAST((SELECT sum(c) FROM c3) + (SELECT count(*) FROM known) + 1 AS DOUBLE) AS p1 FROM e LEFT JOIN c1 USING (k)),
+    q2 AS (SELECT q1.*, CASE WHEN sl.c IS NULL THEN p1 ELSE greatest(coalesce(cl.c, 0) - 0.75, 0) / sl.c + 0.75 * sl.d / sl.c * p1 END AS pl,
+      CASE WHEN sr.c IS NULL THEN p1 ELSE greatest(coalesce(cr.c, 0) - 0.75, 0) / sr.c + 0.75 * sr.d / sr.c * p1 END AS pr
+      FROM q1 LEFT JOIN cl USING (p, k) LEFT JOIN sl USING (p) LEFT JOIN cr USING (n, k) LEFT JOIN sr USING (n)),
+    q3 AS (SELECT q2.*, CASE WHEN s3.c IS NULL THEN (pl + pr) / 2 ELSE greatest(coalesce(c3.c, 0) - 0.75, 0) / s3.c + 0.75 * s3.d / s3.c * (pl + pr) / 2 END AS p3
+      FROM q2 LEFT JOIN c3 USING (p, n, k) LEFT JOIN s3 USING (p, n))
+    SELECT unit_id, count(*) AS events, round(avg(-ln(p3)), 6) AS surprise FROM q3 GROUP BY 1"""
+)
+def session_context_surprise(spark, d):
+    """How unlikely the events of each session are between their neighbours, by normal train sessions."""
+    built = V.event_sessions(spark, d)
+    train = _train(built)
+    vocabulary = events.key_vocabulary(train)
+    longest = events.longest_session(train)
+    normal = context.triples(train.where(F.col("_target") == 0), vocabulary, longest)
+    # All but the three other special keys can occur.
+    model = context.fit_contexts(normal, vocabulary.count() - len(events.SPECIAL_KEYS) + 1)
+    found = context.surprise(context.triples(built, vocabulary, longest), model)
+    return found.select("unit_id", "events", F.round("surprise", 6).alias("surprise"))
+
+
 @register()
 def session_embedding_features(spark, d):
-    """Key vectors fitted on normal train sessions, plain and IDF-weighted session means, scaled."""
+    """Key vectors fitted on normal train sessions, plain and IDF-weighted means of events in context, scaled."""
     from pyspark.ml.functions import vector_to_array
 
     from logtide.plans.experiment import FeatureSpace, Settings
