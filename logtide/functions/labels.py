@@ -18,16 +18,26 @@ OUTCOMES = ("TP", "FP", "FN", "TN")
 # -------------------------------------------------------------------------------------------
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
-# Tried in turn after the ISO form.
-_TIME_FORMATS = (
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "dd MMM yyyy HH:mm:ss Z",
-    "dd MMM yyyy HH:mm:ss",
-    "dd MMM yyyy",
-)
+# Dates by shape (a four-digit number is Y, another number 9, letters a) and the one or two patterns of each; months come
+# before days unless only the other order is a date.
+_DATES = {
+    "9/9/Y": ("M/d/yyyy", "d/M/yyyy"),
+    "9/9/9": ("M/d/yy", "d/M/yy"),
+    "Y/9/9": ("yyyy/M/d",),
+    "9-9-Y": ("M-d-yyyy", "d-M-yyyy"),
+    "Y-9-9": ("yyyy-M-d",),
+    "9.9.Y": ("M.d.yyyy", "d.M.yyyy"),
+    "Y.9.9": ("yyyy.M.d",),
+    "a 9, Y": ("MMM d, yyyy", "MMMM d, yyyy"),
+    "a 9 Y": ("MMM d yyyy", "MMMM d yyyy"),
+    "9 a Y": ("d MMM yyyy", "d MMMM yyyy"),
+    "9 a, Y": ("d MMM, yyyy", "d MMMM, yyyy"),
+    "Y a 9": ("yyyy MMM d", "yyyy MMMM d"),
+    "9-a-Y": ("d-MMM-yyyy", "d-MMMM-yyyy"),
+    "9-a-9": ("d-MMM-yy",),
+    "9": ("yyyyMMdd",),
+}
+_CLOCK, _CLOCK_HALVES = " H:mm[:ss[.SSSSSSSSS]][ ][XXX][XX]", " h:mm[:ss] a"
 
 
 def binary_label(value: Column) -> Column:
@@ -64,11 +74,25 @@ def split_name(value: Column) -> Column:
 def tolerant_timestamp(value: Column) -> Column:
     """UTC timestamp in any of the accepted notations, null when none fits.
 
-    The notations after the ISO form are tried only when it fails.
+    The shape of a date, not a chain of attempts, picks the one or two patterns that it is read with.
     """
     text = strip(value.cast("string"))
-    plain = F.regexp_replace(text, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", "")
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(plain, F.lit(form)) for form in _TIME_FORMATS])
+    plain = F.regexp_replace(text, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    parts = r"^(.*?)(?:[T,\s]+(\d{1,2}:\d{2}.*))?$"
+    date, clock = F.regexp_extract(plain, parts, 1), F.regexp_extract(plain, parts, 2)
+    clock = F.regexp_replace(clock, r"(?i)\s*(utc|gmt)$", "Z")
+    letters = F.regexp_replace(date, r"[A-Za-z]+", "a")
+    shape = F.regexp_replace(F.regexp_replace(letters, r"(?<!\d)\d{4}(?!\d)", "Y"), r"\d+", "9")
+    halves = clock.rlike(r"(?i)[ap]m$")
+    spaced = F.when(halves, F.regexp_replace(clock, r"(?i)\s*([ap]m)$", " $1")).otherwise(clock)
+    whole = F.when(clock == "", date).otherwise(F.concat(date, F.lit(" "), spaced))
+    ending = F.when(clock == "", "").when(halves, _CLOCK_HALVES).otherwise(_CLOCK)
+
+    def read(place: int) -> Column:
+        patterns = [F.lit(x) for shape_, found in _DATES.items() if len(found) > place for x in (shape_, found[place])]
+        return F.try_to_timestamp(whole, F.concat(F.element_at(F.create_map(*patterns), shape), ending))
+
+    return F.coalesce(F.try_to_timestamp(text), read(0), read(1))
 
 
 def strict_timestamp(value: Column) -> Column:

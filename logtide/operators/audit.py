@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions import labels as L
 from logtide.functions import text as T
+from logtide.operators import contract
 from logtide.operators.prepare import find_column, quoted
 
 
@@ -24,11 +25,11 @@ def total(condition: Column) -> Column:
 
 
 def value_counts(frame: DataFrame, column: str) -> DataFrame:
-    """(value, count), blanks dropped, most frequent first."""
-    value = F.coalesce(quoted(column).cast("string"), F.lit(""))
+    """(value, count) of the stripped values, blanks dropped, most frequent first."""
+    value = T.strip(F.coalesce(quoted(column).cast("string"), F.lit("")))
     return (
         frame.select(value.alias("value"))
-        .where(T.strip(F.col("value")) != "")
+        .where(F.col("value") != "")
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "value")
@@ -334,37 +335,42 @@ def dataset_context(frame: DataFrame, raw: DataFrame | None = None, source_colum
         total(F.col("_session") == "").alias("_blank_sessions"),
         total(F.col("_timestamp").isNull()).alias("_bad_times"),
     )
-    text = key_profile(frame, "_text", split="_split").agg(
-        F.count(F.lit(1)).alias("unique_clean_texts"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("_repeated"),
-        total(in_split("train") & in_split("test")).alias("_text_overlap"),
-    )
-    templates = key_profile(frame, "_template", split="_split").agg(
-        F.count(F.lit(1)).alias("template_count"),
-        total(in_split("train") & in_split("test")).alias("_template_overlap"),
-    )
-    sessions = key_profile(frame.where(F.col("_session") != ""), "_session", "_target").agg(
-        F.count(F.lit(1)).alias("session_count"), total(contradictory()).alias("_conflicts")
-    )
-    leaks = group_leakage(frame).agg(F.map_from_entries(F.collect_list(F.struct("field", "leaking"))).alias("_leakage"))
+    known = {c: find_column(frame.columns, (c,)) for c in ("scenario_id", "session_id", "network_function", "anomaly_type")}
 
-    def counts(column: str, alias: str) -> DataFrame:
-        found = find_column(frame.columns, (column,))
-        if found is None:
-            return frame.limit(0).agg(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")).alias(alias))
-        # Category columns: one entry per distinct value, already counted.
-        pairs = value_counts(frame, found)
-        return pairs.agg(F.map_from_entries(F.collect_list(F.struct("value", "count"))).alias(alias))
+    def filled(column: str | None) -> Column:
+        """The stripped value of a column; null where it is blank or there is none."""
+        value = F.lit(None).cast("string") if column is None else T.strip(quoted(column).cast("string"))
+        return F.when(value != "", value)
+
+    counted = {"split_counts": "_split", "network_function_counts": known["network_function"], "anomaly_type_counts": known["anomaly_type"]}
+    keys = {"text": F.col("_text"), "template": F.col("_template"), "session": F.when(F.col("_session") != "", F.col("_session"))}
+    keys |= {c: filled(known[c]) for c in ("scenario_id", "session_id")}
+    # Everything below is read from this one combined table.
+    found = contract.profile(frame, {name: filled(c) for name, c in counted.items()}, keys, None, F.col("_split"), F.col("_target"))
+
+    def number(question: str, condition: Column = F.lit(True)) -> Column:
+        return F.count_if((F.col("question") == question) & F.coalesce(condition, F.lit(False)))
 
+    def counts(question: str) -> Column:
+        # Category columns: one entry per distinct value, already counted.
+        entry = F.when(F.col("question") == question, F.struct(F.col("cell").alias("value"), F.col("n").alias("count")))
+        return F.map_from_entries(F.collect_list(entry)).alias(question)
+
+    shared = contract.in_split("train") & contract.in_split("test")
+    leaking = [F.struct(F.lit(c).alias("field"), number(c, F.bit_count("splits") > 1).alias("leaking")) for c in ("scenario_id", "session_id")]
+    answers = found.agg(
+        number("text").alias("unique_clean_texts"),
+        F.coalesce(F.sum(F.when(F.col("question") == "text", F.col("n") - 1)), F.lit(0)).alias("_repeated"),
+        number("text", shared).alias("_text_overlap"),
+        number("template").alias("template_count"),
+        number("template", shared).alias("_template_overlap"),
+        number("session").alias("session_count"),
+        number("session", F.col("low") < F.col("high")).alias("_conflicts"),
+        F.map_from_entries(F.array(*leaking)).alias("_leakage"),
+        *[counts(name) for name in counted],
+    )
     before = raw if raw is not None else frame
-    missing = missing_cells(before, source).agg(F.map_from_entries(F.collect_list(F.struct("column", "missing"))).alias("_missing"))
-    copies = duplicate_rows(before, source).withColumnRenamed("duplicates", "_duplicates")
-    row = _side_by_side([
-        base, text, templates, sessions, leaks, missing, copies,
-        counts("_split", "split_counts"),
-        counts("network_function", "network_function_counts"),
-        counts("anomaly_type", "anomaly_type_counts"),
-    ])
+    row = _side_by_side([base, answers, _raw_cells(before, source)])
     has_columns = bool(template and find_column(source, ("session_id",)))
     text_name = find_column(source, ("clean_text", "log_text", "message", "log_message", "log", "text"))
     return row.select(
@@ -390,6 +396,19 @@ def dataset_context(frame: DataFrame, raw: DataFrame | None = None, source_colum
     )
 
 
+def _raw_cells(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Blank cells per column and rows beyond the first of each set of equal rows, from one pass over row hashes."""
+    texts = [T.as_string(quoted(c)) for c in columns]
+    nulls = F.concat(F.lit(""), *[F.when(quoted(c).isNull(), "1").otherwise("0") for c in columns])
+    marks = [F.xxhash64(F.lit(side), nulls, *[quoted(c) for c in columns]).alias(f"_h{side}") for side in range(2)]
+    blanks = F.array(*[(text == "").cast("int") for text in texts])
+    rows = frame.select(*marks, blanks.alias("_blank")).groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_n"), F.first("_blank").alias("_blank"))
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.sum(F.col("_blank")[i] * F.col("_n")), F.lit(0)).alias("missing")) for i, c in enumerate(columns)
+    ]
+    return rows.agg(F.map_from_entries(F.array(*entries)).alias("_missing"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_duplicates"))
+
+
 def outcome_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(total(F.col("predicted") == 0).alias("normal"), total(F.col("predicted") == 1).alias("anomaly"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logtide.functions import text as T
-from logtide.operators import audit, prepare
+from logtide.operators import audit, contract, prepare
 from logtide.plans import views as V
 from logtide.plans.catalog import register
 
@@ -185,6 +185,47 @@ def contract_violations(spark, d):
     return audit.contract_violations(raw, expected, ["split", "label"])
 
 
+# Rules of the query below: what the derived logs would hold if all quotas were even, of a contract of 10,000 rows.
+_RULES = contract.log_rules(
+    10_000, {"normal": 5_000, "abnormal": 5_000}, {"train": 7_000, "validation": 1_500, "test": 1_500},
+    {f"{s}/{c}": n // 2 for s, n in (("train", 7_000), ("validation", 1_500), ("test", 1_500)) for c in ("normal", "abnormal")},
+    {"normal/INFO": 5_000, "abnormal/ERROR": 5_000}, {"error_large": 2_500, "error_small": 2_500},
+)
+_RULE_CELLS = {"class": "label", "split": "split", "split and class": "concat(split, '/', label)", "class and severity": "concat(label, '/', severity)"}
+_RULE_VALUES = {
+    "rows with empty cells": "SELECT count(*) FROM raw WHERE " + " OR ".join(f"coalesce(trim({c}), '') = ''" for c in prepare.RAW_COLUMNS),
+    "normal rows with a type": "SELECT count(*) FROM raw WHERE label = 'normal' AND anomaly_type <> 'none'",
+    "rows with label words": "SELECT count(*) FROM raw WHERE regexp_matches(log_text, '(?i)\\b(?:normal|abnormal)\\b')",
+    "scenarios in several splits": "SELECT count(*) FROM (SELECT 1 FROM raw GROUP BY scenario_id HAVING count(DISTINCT split) > 1)",
+    "sessions in several splits": "SELECT count(*) FROM (SELECT 1 FROM raw GROUP BY session_id HAVING count(DISTINCT split) > 1)",
+    "templates in test only": "SELECT count(*) FROM (SELECT 1 FROM raw GROUP BY template_id HAVING min(split) = 'test' AND max(split) = 'test')",
+    "rows": "SELECT count(*) FROM raw",
+    "share of copied texts": "SELECT 1 - count(DISTINCT log_text) / count(*) FROM raw",
+    "mean words": "SELECT avg(len(regexp_extract_all(log_text, '[A-Za-z][A-Za-z0-9_-]*'))) FROM raw",
+    "missing columns": "SELECT 0",
+}
+
+
+def _rules_sql() -> str:
+    bound = lambda x: "NULL" if x is None else str(float(x))
+    rules = ", ".join(f"('{r.name}', '{r.cell}', {bound(r.low)}, {bound(r.high)})" for r in _RULES)
+    parts = [f"SELECT '{name}', {cell}, count(*)::DOUBLE FROM raw GROUP BY 2" for name, cell in _RULE_CELLS.items()]
+    parts += ["SELECT 'abnormal rows of a type', anomaly_type, count(*) FROM raw WHERE label = 'abnormal' GROUP BY 2"]
+    parts += [f"SELECT '{name}', '', ({value})::DOUBLE" for name, value in _RULE_VALUES.items()]
+    return f"""WITH {V.RAW}, rules(rule, cell, low, high) AS (VALUES {rules}), found(rule, cell, value) AS ({" UNION ALL ".join(parts)}),
+    b AS (SELECT rule, cell, CAST(low AS DOUBLE) AS low, CAST(CASE WHEN rules.rule IS NULL THEN 0 ELSE high END AS DOUBLE) AS high, coalesce(value, 0) AS value
+      FROM rules FULL JOIN found USING (rule, cell))
+    SELECT rule, cell, low, high, round(value, 6) AS value, (low IS NULL OR value >= low) AND (high IS NULL OR value <= high) AS met FROM b
+    WHERE NOT (rule IN ('rows with empty cells', 'normal rows with a type', 'rows with label words') AND value = 0 AND high IS NULL)"""
+
+
+@register(_rules_sql())
+def contract_report(spark, d):
+    """Every rule of a contract with what the derived logs hold, and every cell that no rule lists."""
+    values = contract.log_values(V.raw_logs(spark, d), prepare.RAW_COLUMNS)
+    return contract.checked(values, _RULES).withColumn("value", F.round("value", 6))
+
+
 @register(
     f"""WITH {V.RAW} SELECT CAST(0 AS BIGINT) AS rows_with_empty_cells, count(*) FILTER (regexp_matches(log_text, '(?i)\\b(?:normal|abnormal)\\b')) AS rows_with_label_words,
     count(*) FILTER (label = 'normal' AND anomaly_type <> 'none') AS normal_rows_with_anomaly_type FROM raw"""

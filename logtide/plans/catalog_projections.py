@@ -165,6 +165,27 @@ _TIME_SQL = """CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ
  WHEN 2 THEN strftime(ts, '%m/%d/%Y %H:%M:%S') WHEN 3 THEN strftime(ts, '%d %b %Y %H:%M:%S') ELSE 'not a time' END"""
 
 
+# Notations that events are written in, and what of the time each one keeps.
+_NOTATIONS = (
+    ("M/d/yyyy", "day"), ("MM/dd/yyyy HH:mm", "minute"), ("MMM d, yyyy", "day"), ("dd-MMM-yyyy", "day"), ("yyyy/MM/dd HH:mm:ss.SSS", "milliseconds"),
+    ("MMMM d, yyyy h:mm:ss a", "second"), ("EEE, dd MMM yyyy HH:mm:ss", "second"), ("yyyyMMdd", "day"), ("d MMM yyyy HH:mm:ss +0000", "second"),
+    ("yyyy.MM.dd H:mm", "minute"), ("MMM d yyyy HH:mm:ss.SSS", "milliseconds"), ("M-d-yyyy", "day"), ("yyyy MMM d", "day"),
+)
+
+
+@register(
+    "SELECT event_id, CASE event_id % 13 "
+    + " ".join(f"WHEN {i} THEN date_trunc('{unit}', ts)" for i, (_, unit) in enumerate(_NOTATIONS))
+    + " END AS parsed FROM events"
+)
+def time_notations(spark, d):
+    """The time of each event, written in one of thirteen notations and read again."""
+    written = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(_NOTATIONS):
+        written = F.when(F.col("event_id") % len(_NOTATIONS) == i, F.date_format("ts", form.replace(" +0000", "' +0000'"))).otherwise(written)
+    return V.table(spark, d, "events").select("event_id", L.tolerant_timestamp(written).cast("timestamp_ntz").alias("parsed"))
+
+
 @register(
     """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 0 THEN date_trunc('milliseconds', ts)
     ELSE date_trunc('second', ts) END AS parsed FROM events"""

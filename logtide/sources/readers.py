@@ -154,7 +154,17 @@ def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+# Fixed value: a prime that sums of row hashes are taken by.
+_PRIME = (1 << 61) - 1
+
+
 def content_fingerprint(frame: DataFrame) -> DataFrame:
-    """Row count and an order-free hash of all rows, the same however the output is cut into files."""
-    mixed = F.xxhash64(*frame.columns)
-    return frame.agg(F.count(F.lit(1)).alias("rows"), F.hex(F.bit_xor(mixed)).alias("fingerprint"))
+    """Row count and an order-free hash of all rows, the same however the output is cut into files.
+
+    Two keyed hashes of each row are summed modulo a prime, so that a row counts as often as it stands there. Which cells
+    are null is part of a row. Fingerprints of parts can be added up.
+    """
+    nulls = F.concat(F.lit(""), *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in frame.columns])
+    sums = [F.sum(F.pmod(F.xxhash64(F.lit(key), nulls, *frame.columns), F.lit(_PRIME)).cast("decimal(38,0)")) for key in ("first", "second")]
+    digits = [F.lpad(F.hex(F.pmod(F.coalesce(s, F.lit(0)), F.lit(_PRIME).cast("decimal(38,0)")).cast("bigint")), 16, "0") for s in sums]
+    return frame.agg(F.count(F.lit(1)).alias("rows"), F.concat(*digits).alias("fingerprint"))
