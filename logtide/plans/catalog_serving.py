@@ -159,3 +159,22 @@ def pasted_message_scores(spark, d):
     bundle = train_experiment(labelled, Settings(representation="tfidf", classifier="lr"))
     rows = V.table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("log_text"))
     return score_texts(bundle, rows)
+
+
+@register()
+def pasted_against_latest_run(spark, d):
+    """The benchmark texts scored by the recommended model of the newer one of two stored runs."""
+    from logtide.plans.analysis import score_with_latest, train_run
+    from logtide.plans.experiment import Settings
+    from logtide.runtime import new_path
+    from logtide.sources.store import Store
+
+    store = Store(spark, new_path(spark, "workspace"))
+    labelled = V.document_logs(spark, d, "quality").where("_target is not null").withColumn("_session", F.lit(""))
+    columns = ["row_id", "_text", "log_text", "_target", "_split", "_session", "_template", "_timestamp"]
+    frame = labelled.select(*[c for c in columns if c in labelled.columns])
+    store.save_dataset("documents", frame, spark.createDataFrame([(True, False, "documents")], "has_labels boolean, can_sessions boolean, name string"))
+    for features in (500, None):
+        train_run(store, "documents", Settings(representation="tfidf", classifier="lr", max_features=features))
+    rows = V.table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("log_text"))
+    return score_with_latest(store, "documents", rows).drop("run_id")
