@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as types
@@ -110,47 +111,54 @@ def count_vectors(frame: DataFrame, tokens: str, terms: list[str], output: str)
     return model.transform(frame)
 
 
-def whole_unit_counts(counted: DataFrame, vector: str, size: int) -> DataFrame:
-    """Adds segment counts of long sessions up to one row per unit; single-segment units pass through."""
-    parts = F.unwrap_udt(F.col(vector))
-    arrays = counted.select(
-        "unit_id", "segment", "segments", parts["indices"].alias("_i"), parts["values"].alias("_v")
-    )
-    entries = arrays.where("segments > 1").select("unit_id", F.explode_outer(F.arrays_zip("_i", "_v")).alias("e"))
+def _whole_unit_counts(counted: DataFrame) -> DataFrame:
+    """Adds the term counts (`_i`, `_v`) of long sessions up to one row per unit; single-segment units pass through."""
+    entries = counted.where("segments > 1").select("unit_id", F.explode_outer(F.arrays_zip("_i", "_v")).alias("e"))
     entries = entries.where("e is not null")
     summed = entries.groupBy("unit_id", F.col("e._i").alias("i")).agg(F.sum("e._v").alias("v"))
-    # At most `size` entries per unit: the vocabulary is capped.
+    # At most as many entries per unit as the vocabulary has, which is capped.
     packed = summed.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_e"))
-    whole = packed.select("unit_id", sparse_vector(F.col("_e.i"), F.col("_e.v"), size).alias("_whole"))
-    short = counted.where("segments = 1")
-    long = whole_sessions(counted).join(whole, "unit_id", "left")
-    empty = sparse_vector(F.array().cast("array<int>"), F.array().cast("array<double>"), size)
-    return short.unionByName(long.withColumn(vector, F.coalesce("_whole", empty)).drop("_whole"))
+    whole = packed.select("unit_id", F.col("_e.i").alias("_i"), F.col("_e.v").alias("_v"))
+    long = whole_sessions(counted.drop("_i", "_v")).join(whole, "unit_id", "left")
+    filled = long.withColumns({"_i": F.coalesce("_i", F.array().cast("array<int>")), "_v": F.coalesce("_v", F.array().cast("array<double>"))})
+    return counted.where("segments = 1").unionByName(filled)
+
+
+def term_weights(units: Units, lexicon: Lexicon) -> DataFrame:
+    """Unit rows with `_i` and `_w`: numbers of their terms and the sublinear, IDF-weighted weights of unit length.
+
+    Arrays in the row, without a shuffle for log units; no vector is built.
+    """
+    counted = count_vectors(with_terms(units.frame), "_terms", lexicon.terms, "_counts")
+    parts = F.unwrap_udt(F.col("_counts"))
+    arrays = counted.withColumns({"_i": parts["indices"], "_v": parts["values"]}).drop("_terms", "_counts")
+    if units.segmented:
+        arrays = _whole_unit_counts(arrays)
+    # One constant, folded when the plan is made.
+    idf = F.from_json(F.lit(json.dumps(lexicon.idf)), "array<double>")
+    weighed = F.zip_with("_v", "_i", lambda v, i: (1 + F.log(v)) * F.get(idf, i))
+
+    def unit_length(weights: Column) -> Column:
+        # The length is bound once: named as a column of its own, it would be worked out again for each weight.
+        length = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda total, x: total + x * x))
+        return F.transform(F.array(length), lambda n: F.transform(weights, lambda x: x / n))[0]
+
+    bound = F.transform(F.array(weighed), unit_length)[0]
+    return arrays.withColumn("_w", bound).drop("_v")
 
 
 def tfidf_vectors(units: Units, lexicon: Lexicon, output: str = "tfidf") -> DataFrame:
     """Unit rows with the sublinear, IDF-weighted, L2-normalised vector. No shuffle for log units."""
     size = len(lexicon.terms)
-    counted = count_vectors(with_terms(units.frame), "_terms", lexicon.terms, "_counts")
-    counted = counted.drop("_terms")
-    if units.segmented:
-        counted = whole_unit_counts(counted, "_counts", size)
-    parts = F.unwrap_udt(F.col("_counts"))
-    damped = counted.withColumn(
-        "_damped", sparse_vector(parts["indices"], F.transform(parts["values"], lambda v: 1 + F.log(v)), size)
-    )
-    weighted = ElementwiseProduct(scalingVec=Vectors.dense(lexicon.idf), inputCol="_damped", outputCol="_weighted")
-    unit_length = Normalizer(p=2.0, inputCol="_weighted", outputCol=output)
-    return unit_length.transform(weighted.transform(damped)).drop("_counts", "_damped", "_weighted")
-
-
-def vector_entries(vectors: DataFrame, lexicon: Lexicon, column: str = "tfidf") -> DataFrame:
-    """(unit_id, term, weight): the vectors one row per entry. The capped vocabulary is broadcast, nothing is shuffled."""
-    parts = F.unwrap_udt(F.col(column))
-    zipped = F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
-    words = lexicon.table(vectors.sparkSession).select("index", "term")
-    # Outer: an inferred size filter would build every vector twice. The inner join drops empty ones.
-    entries = vectors.select("unit_id", F.explode_outer(zipped).alias("e"))
+    return term_weights(units, lexicon).withColumn(output, sparse_vector(F.col("_i"), F.col("_w"), size)).drop("_i", "_w")
+
+
+def weight_entries(weights: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(unit_id, term, weight): `term_weights` one row per entry. The capped vocabulary is broadcast, nothing is shuffled."""
+    zipped = F.arrays_zip(F.col("_i").alias("i"), F.col("_w").alias("v"))
+    words = lexicon.table(weights.sparkSession).select("index", "term")
+    # Outer: an inferred size filter would weigh every text twice. The inner join drops empty ones.
+    entries = weights.select("unit_id", F.explode_outer(zipped).alias("e"))
     return entries.join(F.broadcast(words), F.col("e.i") == F.col("index")).select(
         "unit_id", "term", F.col("e.v").alias("weight")
     )

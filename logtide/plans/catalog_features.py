@@ -67,19 +67,19 @@ def _weights_sql(source: str, cap: int) -> str:
 def log_tfidf_weights(spark, d):
     built = units.log_units(V.prepared_logs(spark, d))
     lexicon = lexical.fit_lexicon(_train(built))
-    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon)
+    return _vector_rows(lexical.term_weights(built, lexicon), lexicon)
 
 
-def _vector_rows(vectors, lexicon):
-    return lexical.vector_entries(vectors, lexicon).withColumn("weight", F.round("weight", 6))
+def _vector_rows(weights, lexicon):
+    return lexical.weight_entries(weights, lexicon).withColumn("weight", F.round("weight", 6))
 
 
 @register(f"WITH {V.CHATS}, {_weights_sql('chats', 25000)} SELECT unit_id, term, round(weight, 6) AS weight FROM weights")
 def session_tfidf_vectors(spark, d):
-    """The vector form, unpacked to compare entry by entry."""
+    """The weights of whole sessions, entry by entry."""
     built = V.chat_sessions(spark, d)
     lexicon = lexical.fit_lexicon(_train(built), lexical.SESSION_FEATURES)
-    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon)
+    return _vector_rows(lexical.term_weights(built, lexicon), lexicon)
 
 
 @register(f"WITH {V.CHATS}, {_weights_sql('chats', 25000)} SELECT unit_id, term, round(weight, 6) AS weight FROM weights")
@@ -87,15 +87,14 @@ def segmented_session_tfidf(spark, d):
     """The same vectors from sessions held as two-event segments: segment borders must not show."""
     built = units.session_units(V.chat_rows(spark, d), limit=2)
     lexicon = lexical.fit_lexicon(_train(built), lexical.SESSION_FEATURES)
-    return _vector_rows(lexical.tfidf_vectors(built, lexicon), lexicon)
+    return _vector_rows(lexical.term_weights(built, lexicon), lexicon)
 
 
 @register(f"WITH {_DOC_UNITS}, {_weights_sql('du', 20000)} SELECT u.unit_id, count(w.term) AS entries, round(coalesce(sum(w.weight), 0), 4) AS total, round(max(w.weight), 6) AS top FROM du u LEFT JOIN weights w ON u.unit_id = w.unit_id GROUP BY 1")
 def document_tfidf_vectors(spark, d):
     built = V.document_units(spark, d)
     lexicon = lexical.fit_lexicon(_train(built))
-    parts = F.unwrap_udt(F.col("tfidf"))
-    values = lexical.tfidf_vectors(built, lexicon).select("unit_id", parts["values"].alias("v"))
+    values = lexical.term_weights(built, lexicon).select("unit_id", F.col("_w").alias("v"))
     return values.select(
         "unit_id",
         F.size("v").cast("bigint").alias("entries"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import string
 from datetime import datetime, timezone
 from typing import Any
 
@@ -22,16 +21,6 @@ def as_json(value: Any) -> str:
     return json.dumps(json.loads(lenient, parse_constant=lambda _: None), allow_nan=False)
 
 
-_KEY_LETTERS = frozenset("-_" + string.ascii_letters + string.digits)
-
-
-def identifier(value: str) -> str:
-    """A key that is safe as the name of a folder."""
-    if not value or len(value) > 80 or not _KEY_LETTERS.issuperset(value):
-        raise ValueError(f"{value!r} is no key: letters, digits, - and _, 80 at most.")
-    return value
-
-
 def utc_now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -47,20 +36,20 @@ class Store:
 
     def _record(self, kind: str, key: str) -> dict:
         try:
-            rows = self.spark.read.text(self.path(kind, identifier(key), "record")).limit(1).collect()
+            rows = self.spark.read.text(self.path(kind, key, "record")).limit(1).collect()
         except AnalysisException as error:
-            raise ValueError(f"The requested entry of {kind} is not available.") from error
+            raise ValueError(f"Nothing is stored as {key!r} under {kind}.") from error
         return json.loads(rows[0]["value"])
 
     def _save_record(self, kind: str, key: str, record: dict) -> None:
-        writers.write_record(self.spark, as_json(record), self.path(kind, identifier(key), "record"))
+        writers.write_record(self.spark, as_json(record), self.path(kind, key, "record"))
 
     def _records(self, kind: str) -> DataFrame:
         """All records of a kind as rows, schema from the records themselves."""
         return self.spark.read.json(self.path(kind, "*", "record"))
 
     def save_dataset(self, key: str, frame: DataFrame, context: DataFrame) -> None:
-        frame.write.parquet(self.path("datasets", identifier(key), "rows"))
+        frame.write.parquet(self.path("datasets", key, "rows"))
         described = context.select(F.to_json(F.struct("*")).alias("v")).first()["v"]
         self._save_record("datasets", key, {**json.loads(described), "id": key, "created_at": utc_now()})
 
@@ -69,7 +58,7 @@ class Store:
         return self.spark.read.parquet(self.path("datasets", key, "rows")), record
 
     def save_run(self, key: str, record: dict, evidence: DataFrame, metrics: DataFrame, rows: DataFrame) -> None:
-        writers.write_evidence(evidence, self.path("runs", identifier(key), "evidence"))
+        writers.write_evidence(evidence, self.path("runs", key, "evidence"))
         writers.write_metrics(metrics, self.path("runs", key, "metrics"))
         writers.write_partitions(rows, self.path("runs", key, "partitions"))
         self._save_record("runs", key, {"id": key, "status": "completed", "created_at": utc_now(), **record})
@@ -84,14 +73,14 @@ class Store:
         record = self.run(key)
         wanted = model_id or record["recommended_model_id"]
         if wanted not in {r["model_id"] for r in record["results"]}:
-            raise ValueError("Choose a configuration from this run.")
+            raise ValueError("The run has saved no evidence of that model.")
         return readers.read_evidence(self.spark, self.path("runs", key, "evidence"), wanted)
 
     def partitions(self, key: str) -> DataFrame:
-        return self.spark.read.parquet(self.path("runs", identifier(key), "partitions"))
+        return self.spark.read.parquet(self.path("runs", key, "partitions"))
 
     def save_analysis(self, key: str, rows: DataFrame, record: dict) -> None:
-        rows.write.parquet(self.path("analyses", identifier(key), "rows"))
+        rows.write.parquet(self.path("analyses", key, "rows"))
         self._save_record("analyses", key, {"id": key, "created_at": utc_now(), **record})
 
     def analysis(self, key: str) -> tuple[DataFrame, dict]:
@@ -103,7 +92,7 @@ class Store:
 
     def export(self, key: str, kind: str, path: str, model_id: str | None = None) -> None:
         if kind == "metrics":
-            source = readers.read_csv_strings(self.spark, self.path("runs", identifier(key), "metrics"))
+            source = readers.read_csv_strings(self.spark, self.path("runs", key, "metrics"))
         else:
             source = self.evidence(key, model_id)
             model_id = model_id or self.run(key)["recommended_model_id"]

@@ -49,7 +49,7 @@ def write_record(spark: SparkSession, record_json: str, path: str) -> None:
 
 def export_csv(source: DataFrame, path: str, kind: str, model_id: str | None = None) -> None:
     if kind not in ("metrics", "predictions"):
-        raise ValueError("Export metrics or predictions.")
+        raise ValueError(f"An export is of kind 'metrics' or 'predictions', not {kind!r}.")
     if kind == "metrics":
         write_metrics(source, path)
     else:
