@@ -37,6 +37,10 @@ HEADLINES = (
     "prediction_evidence",
     "evidence_of_one_model",
     "logistic_regression_scores",
+    "scan_csv_strings",
+    "near_word_scores",
+    "session_context_surprise",
+    "contract_report",
 )
 
 

@@ -117,3 +117,14 @@ def template_hash(text: Column, prefix: str = "GENERATED-") -> Column:
 def contains_literal(text: Column, needle: str) -> Column:
     """Case-insensitive substring search without pattern syntax."""
     return F.contains(F.lower(text), F.lower(F.lit(needle)))
+
+
+def clip(text: Column, longest: int = 200) -> Column:
+    """The text for a table cell: '' for null, cut with an ellipsis beyond `longest` characters."""
+    shown = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(F.length(shown) > longest, F.concat(F.left(shown, F.lit(longest)), F.lit("…"))).otherwise(shown)
+
+
+def prettified(name: Column) -> Column:
+    """A stored name for display, with blanks for underscores."""
+    return F.translate(F.coalesce(name.cast("string"), F.lit("")), "_", " ")

@@ -32,15 +32,22 @@ def allocate_quotas(frame: DataFrame, quotas: DataFrame, stratum: str, row_id: s
     return found.drop("_stratum", "_from", "_to", "stratum_rows")
 
 
-def fixed_size_groups(frame: DataFrame, stratum: str, row_id: str, size: int = 6, seed: int = 42) -> DataFrame:
+def fixed_size_groups(
+    frame: DataFrame, stratum: str, row_id: str, size: int = 6, seed: int = 42, bounds: tuple[int, int] | None = None
+) -> DataFrame:
     """Chunks each stratum into groups of about `size`, sizes differing by at most one.
 
-    Group count is the half-even rounding of rows/size, at least one; the first groups take the remainder.
+    Group count is the half-even rounding of rows/size, at least one; the first groups take the remainder. With `bounds`
+    the job fails at a stratum whose groups would be smaller or larger.
     """
     placed = ranked(frame, stratum, row_id, seed)
     chunks = F.greatest(F.lit(1), F.bround(F.col("stratum_rows") / F.lit(size)).cast("bigint"))
     base = F.floor(F.col("stratum_rows") / chunks)
     extra = F.col("stratum_rows") % chunks
+    if bounds is not None:
+        fits = (base >= bounds[0]) & (base + (extra > 0).cast("bigint") <= bounds[1])
+        message = F.format_string(f"A stratum of %d rows has no groups of {bounds[0]} to {bounds[1]} rows.", F.col("stratum_rows"))
+        placed = placed.where(F.when(fits, True).otherwise(F.raise_error(message).cast("boolean")))
     place = F.col("rank") - 1
     border = extra * (base + 1)
     chunk = F.when(place < border, F.floor(place / (base + 1))).otherwise(extra + F.floor((place - border) / base))

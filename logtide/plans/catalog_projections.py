@@ -276,3 +276,21 @@ def label_tag_counts(spark, d):
 def prepare_upload(spark, d):
     frame = prepare.prepare_logs(V.raw_logs(spark, d), row_id="row_id")
     return frame.select("row_id", "log_text", "_text", "_target", "_session", "_template", F.col("_timestamp").cast("timestamp_ntz").alias("_timestamp"), "_split")
+
+
+@register(
+    f"""WITH {V.RAW}, r AS (SELECT CASE WHEN row_id % 90 = 0 THEN 'later' ELSE timestamp END AS t, CASE WHEN row_id % 70 = 0 THEN '!!!' ELSE log_text END AS m,
+    CASE WHEN row_id % 50 = 0 THEN 'odd' ELSE label END AS label FROM raw)
+    SELECT count(*) FILTER (label = 'odd') AS unknown_labels, count(*) FILTER (m = '!!!') AS empty_texts, count(*) FILTER (t = 'later') AS bad_times,
+    (SELECT count(*) FROM (SELECT m FROM r GROUP BY m HAVING count(DISTINCT label) > 1)) AS conflicting_messages FROM r"""
+)
+def cleaned_table_problems(spark, d):
+    """The guards of the cleaned table on logs in which some labels, texts and times were spoilt."""
+    raw = V.raw_logs(spark, d)
+    nth = lambda n: F.col("row_id") % n == 0
+    spoilt = raw.withColumns({
+        "timestamp": F.when(nth(90), "later").otherwise(F.col("timestamp")),
+        "log_text": F.when(nth(70), "!!!").otherwise(F.col("log_text")),
+        "label": F.when(nth(50), "odd").otherwise(F.col("label")),
+    })
+    return prepare.cleaned_problems(prepare.cleaned_table(spoilt))

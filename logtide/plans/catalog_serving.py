@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from logtide.functions import labels as L
+from logtide.functions import text as T
 from logtide.operators import audit, prepare, scoring, serve
 from logtide.operators.skew import salted_lookup
 from logtide.plans import views as V
@@ -178,3 +179,13 @@ def pasted_against_latest_run(spark, d):
         train_run(store, "documents", Settings(representation="tfidf", classifier="lr", max_features=features))
     rows = V.table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("log_text"))
     return score_with_latest(store, "documents", rows).drop("run_id")
+
+
+@register(
+    f"""WITH {V.RAW} SELECT row_id, CASE WHEN length(log_text) > 30 THEN concat(left(log_text, 30), '…') ELSE log_text END AS message,
+    replace(anomaly_type, '_', ' ') AS anomaly FROM raw"""
+)
+def display_cells(spark, d):
+    """Messages and names as a table shows them."""
+    rows = V.raw_logs(spark, d)
+    return rows.select("row_id", T.clip(F.col("log_text"), 30).alias("message"), T.prettified(F.col("anomaly_type")).alias("anomaly"))

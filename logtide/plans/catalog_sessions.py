@@ -184,4 +184,4 @@ def exact_quota_allocation(spark, d):
 )
 def fixed_size_groups(spark, d):
     orders = V.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return allocate.fixed_size_groups(orders, "o_orderpriority", "o_orderkey")
+    return allocate.fixed_size_groups(orders, "o_orderpriority", "o_orderkey", bounds=(3, 9))

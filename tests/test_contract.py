@@ -99,3 +99,30 @@ def test_context_counts_copies_and_blanks_of_the_raw_rows(spark):
     assert described["network_function_counts"] == {"AMF": sum((n or "").strip() == "AMF" for *_, n in kept)}
     empty = audit.dataset_context(prepare_logs(raw).limit(0), raw.limit(0), raw.columns).first()
     assert empty["row_count"] == 0 and empty["audit"]["duplicates"] == 0 and empty["split_counts"] == {}
+
+
+def test_the_strict_cleaned_table_is_in_order_or_refused(spark):
+    from logtide.operators.prepare import strict_cleaned_table
+
+    rows = _table()
+    random.Random(1).shuffle(rows)
+
+    def frame(rows):
+        columns = ", ".join(f"{c} string" for c in RAW_COLUMNS)
+        return spark.createDataFrame([(i, *[r[c] for c in RAW_COLUMNS]) for i, r in enumerate(rows)], f"row_id bigint, {columns}")
+
+    made = strict_cleaned_table(frame(rows)).collect()
+    times = [r["timestamp"] for r in made]
+    assert len(made) == len(rows) and times == sorted(times) and {r["target"] for r in made} == {0, 1}
+    for column, value, message in (
+        ("label", "odd", "1 unknown labels"), ("log_text", "!!!", "1 empty texts"), ("timestamp", "later", "1 bad times"),
+        ("log_text", rows[1]["log_text"], "1 conflicting messages"),
+    ):
+        changed = [dict(r) for r in rows]
+        if message.endswith("messages"):
+            other = next(r for r in changed if r["label"] != changed[1]["label"])
+            other[column] = value
+        else:
+            changed[0][column] = value
+        with pytest.raises(ValueError, match=message):
+            strict_cleaned_table(frame(changed))

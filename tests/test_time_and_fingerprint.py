@@ -38,3 +38,23 @@ def test_fingerprints_count_repeated_rows_and_nulls(spark):
 def test_values_are_counted_without_their_blanks(spark):
     frame = spark.createDataFrame([("AMF",), (" AMF",), ("AMF ",), ("UPF",), (" ",), (None,)], "nf string")
     assert [tuple(r) for r in audit.value_counts(frame, "nf").collect()] == [("AMF", 3), ("UPF", 1)]
+
+
+def test_cells_for_display(spark):
+    from logtide.functions import text as T
+
+    frame = spark.createDataFrame([("a_b_c",), ("x" * 201,), (None,), ("é" * 200,)], "v string")
+    rows = [tuple(r) for r in frame.select(T.clip(F.col("v")), T.clip(F.col("v"), 2), T.prettified(F.col("v"))).collect()]
+    assert rows[0] == ("a_b_c", "a_…", "a b c") and rows[1][0] == "x" * 200 + "…" and rows[2] == ("", "", "") and rows[3][0] == "é" * 200
+
+
+def test_groups_outside_their_bounds_are_refused(spark):
+    import pytest
+
+    from logtide.operators import allocate
+
+    frame = spark.createDataFrame([(i, "a") for i in range(40)] + [(100 + i, "b") for i in range(2)], "id bigint, s string")
+    assert allocate.fixed_size_groups(frame, "s", "id").count() == 42
+    assert allocate.fixed_size_groups(frame.where("s = 'a'"), "s", "id", bounds=(3, 9)).count() == 40
+    with pytest.raises(Exception, match="stratum of 2 rows"):
+        allocate.fixed_size_groups(frame, "s", "id", bounds=(3, 9)).collect()
