@@ -43,11 +43,12 @@ def test_tokens_equal_the_library_and_decode(spark, reference, vocab, words):
     rows = list(enumerate(_odd_texts()))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("tokens", F.lit(1))
     made = bpe.encode(docs, vocab, public_tokenizers.PATTERN, words=words)
-    found = {r["doc_id"]: r for r in made.select("doc_id", "tokens", bpe.decode(F.col("tokens"), vocab).alias("back")).collect()}
+    found = {r["doc_id"]: r for r in made.select("doc_id", "tokens", "packed", bpe.decode(F.col("tokens"), vocab).alias("back")).collect()}
     assert len(found) == len(rows)
     for i, text in rows:
         assert found[i]["tokens"] == reference.encode_ordinary(text or "")
         assert bytes(found[i]["back"]) == (text or "").encode()
+        assert bytes(found[i]["packed"]) == np.array(found[i]["tokens"], dtype="<u4").tobytes()
 
 
 def test_folded_words_equal_both_helpers(spark, vocab, reference):
