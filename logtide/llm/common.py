@@ -21,6 +21,14 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
 TEXT_ROWS, BLOCK_ROWS = 1_000, 32
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column has it in any case."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_part(column: str, parts: int) -> Column:
     """crc32 of the value as text, modulo `parts`; null for a null value."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
@@ -70,4 +78,4 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-__all__ = ["BLOCK_ROWS", "TEXT_ROWS", "batch_rows", "components", "crc_part", "new_path", "replaced", "sample_by_hash", "stored", "table", "texts_of"]
+__all__ = ["BLOCK_ROWS", "TEXT_ROWS", "batch_rows", "components", "crc_part", "new_path", "replaced", "sample_by_hash", "stored", "table", "texts_of", "unused"]

@@ -4,7 +4,8 @@ A known word scores its log frequency in each language. An unknown word scores t
 longest n-grams that are known, from `LONGEST` characters down to one; each step down costs a fixed penalty.
 
 Null texts and texts without letters: `und`, score 0. Ties go to the language that comes first in the alphabet.
-Repeated rows get a row each. Without training rows everything is `und`. Other columns pass through untouched.
+Repeated rows get a row each. Without training rows everything is `und`. Texts of any length count whole. Other columns
+pass through untouched, but for those that the caller names for the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import TEXT_ROWS, batch_rows, crc_part, stored
+from logtide.llm.common import TEXT_ROWS, batch_rows, crc_part, stored, unused
 
 # Expected number of training documents of each language, chosen by hash of the id.
 SAMPLE_PER_LANGUAGE = 5_000
@@ -117,8 +118,9 @@ def with_language(documents: DataFrame, model: Model, predicted: str = "lang_pre
             found = [shared.value.predict(text) for text in batch.tolist()]
             yield pd.DataFrame(found, columns=["lang", "score"])
 
-    named = documents.withColumn("_lang", predict(F.col(text).cast("string")))
-    return named.withColumn(predicted, F.col("_lang.lang")).withColumn(score, F.col("_lang.score")).drop("_lang")
+    both = unused(documents, "_lang")
+    named = documents.withColumn(both, predict(F.col(text).cast("string")))
+    return named.withColumns({predicted: F.col(f"{both}.lang"), score: F.col(f"{both}.score")}).drop(both)
 
 
 def identified(documents: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:

@@ -8,7 +8,8 @@ every cell. A document is kept if a hash of its id falls below the probability o
 Nulls form cells of their own, as the text `<null>`. Targets are scaled to one over the values that have tokens;
 a value without a target takes no part (probability 0). Empty texts count one token, so that they can be drawn.
 Ties do not arise: the draw is a hash of the id, the same on every run; rows that repeat an id in the same cell are
-kept or dropped together. Empty tables give empty results. Other columns pass through untouched.
+kept or dropped together. Empty tables give empty results. Texts of any length count whole. Other columns pass through
+untouched; `with_probability` replaces those named in `ADDED`, `kept` keeps them as well.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import stored
+from logtide.llm.common import stored, unused
 
 MARGINS = ("_source", "_lang", "_topic")
+# All columns that `with_probability` adds.
+ADDED = (*MARGINS, "_tokens", "_probability", "_kept")
 # Powers of the token shares that make the default targets: below 1 lifts small sources, languages and topics.
 POWERS = {"_source": 0.85, "_lang": 0.95, "_topic": 0.95}
 ROUNDS = 8
@@ -94,6 +97,13 @@ def with_probability(documents: DataFrame, targets: dict[str, DataFrame] | None
     return placed.withColumn("_kept", draw() < F.col("_probability"))
 
 
+def kept(documents: DataFrame) -> DataFrame:
+    """The documents drawn, with their own columns only, even those that are named like an added one."""
+    aside = {c: unused(documents, f"_{c}") for c in documents.columns if c.lower() in ADDED}
+    drawn = with_probability(documents.withColumnsRenamed(aside)).where("_kept").drop(*ADDED)
+    return drawn.withColumnsRenamed({new: old for old, new in aside.items()})
+
+
 def mixed(documents: DataFrame) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, kept) of every document."""
     found = with_probability(documents.select("doc_id", "text", "source", "lang"))

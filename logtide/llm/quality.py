@@ -6,8 +6,8 @@ broadcast, and every document takes the exact cosines with all of them, block by
 weights that grow with similarity.
 
 Nulls, empty texts and texts without a match: the score is 0.5 (both classes are sampled alike). Ties between
-neighbours at the same cosine go to the earlier sample row. Repeated rows get a row each. An empty label table
-gives 0.5 everywhere. Columns of the documents other than the text pass through untouched.
+neighbours at the same cosine go to the earlier sample row. A document labelled both ways counts as label 0. Repeated
+rows get a row each. An empty label table gives 0.5 everywhere, an empty table of documents no rows. Columns of the documents other than the text pass through untouched.
 """
 
 from __future__ import annotations
@@ -96,7 +96,11 @@ class Model:
             latent = features(texts[start : start + 128]) @ self.projection
             norms = np.linalg.norm(latent, axis=1, keepdims=True)
             cosines = (latent / np.where(norms == 0, 1, norms)) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            # All above the k-th cosine, then the earliest rows at it.
+            last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+            above, level = cosines > last, cosines == last
+            taken = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            near = np.nonzero(taken)[1].reshape(len(cosines), k)
             found = np.take_along_axis(cosines, near, axis=1)
             weights = np.exp(20.0 * (found - 1.0))
             vote = (weights * self.labels[near]).sum(axis=1) / weights.sum(axis=1)
@@ -127,8 +131,8 @@ def fit(documents: DataFrame, labelled: DataFrame, label: str = "quality", per_c
                 made = features(part["text"].fillna("").tolist()).astype(np.float16)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "vector": [v.tobytes() for v in made]})
 
-    # One row per sampled document, even where an id repeats in the documents.
-    made = texts_of(sample.dropDuplicates(["doc_id"]), documents).mapInPandas(vectors, "doc_id bigint, label int, vector binary")
+    # One row per sampled document, even where an id repeats in the documents; label 0 where an id has both.
+    made = texts_of(sample.groupBy("doc_id").agg(F.min("label").alias("label")), documents).mapInPandas(vectors, "doc_id bigint, label int, vector binary")
     found = made.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("vector").alias("vector")).orderBy("doc_id").collect()
     if not found:
         empty = np.zeros((0, 1), dtype=np.float32)
