@@ -1,7 +1,13 @@
 """A training corpus from raw documents: quality, language, near-duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir); `run` writes what a stage returns to the shared folder and reads it again
-as the documents of the next one. All stages but the last return the columns of the documents they got.
+as the documents of the next one. All stages but the last return the columns of the documents they got, also those with
+names that the operators use themselves.
+
+Null and empty texts: scored 0.5 and so kept by the quality stage, dropped by the language stage as they have no letters.
+A null id, source or language: learned from nowhere, judged like any other row. Ties: the smallest id of a component stays.
+Rows that repeat an id: one of them stays after the near-dedup stage. Empty tables give empty results. Texts of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import bpe, language, minhash, mixing, quality
-from logtide.llm.common import crc_part, replaced, table
+from logtide.llm.common import crc_part, replaced, table, unused
 
 # Documents below this probability of their language leave the corpus.
 LEAST_LANGUAGE = 0.5
@@ -21,15 +27,17 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents scored below the threshold go."""
     known = table(spark, sf_dir, "labels").where(crc_part("doc_id", 5) != 0)
-    scored = quality.with_score(docs, quality.fit(docs, known), "__quality")
-    return scored.where(F.col("__quality") >= quality.THRESHOLD).drop("__quality")
+    score = unused(docs, "__quality")
+    scored = quality.with_score(docs, quality.fit(docs, known), score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters or without a clear language go."""
     model = language.fit(docs.where(crc_part("doc_id", 4) != 2))
-    named = language.with_language(docs, model, "__name", "__sure")
-    return named.where((F.col("__name") != "und") & (F.col("__sure") >= LEAST_LANGUAGE)).drop("__name", "__sure")
+    name, sure = unused(docs, "__name"), unused(docs, "__sure")
+    named = language.with_language(docs, model, name, sure)
+    return named.where((F.col(name) != "und") & (F.col(sure) >= LEAST_LANGUAGE)).drop(name, sure)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents sampled so that sources, languages and topics meet their target weights."""
-    return mixing.with_probability(docs).where("_kept").select(*docs.columns)
+    return mixing.kept(docs).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
