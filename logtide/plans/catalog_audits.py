@@ -82,7 +82,8 @@ def repeated_text_rate(spark, d):
     UNION ALL SELECT 'log_text', count(DISTINCT log_text) FROM prep UNION ALL SELECT '_text', count(DISTINCT _text) FROM prep"""
 )
 def distinct_value_counts(spark, d):
-    return audit.distinct_counts(V.prepared_logs(spark, d), ["session_id", "template_id", "log_text", "_text"])
+    columns = ["session_id", "template_id", "log_text", "_text"]
+    return audit.distinct_counts(V.kept_logs(spark, d, *columns), columns)
 
 
 @register(

@@ -8,6 +8,11 @@ from logtide.operators.skew import salted_lookup
 from logtide.plans import views as V
 from logtide.plans.catalog import register
 from logtide.plans.catalog_joins import _TOKEN_CTE, _chat_tokens, _token_vectors
+from logtide.runtime import stored
+
+
+# What ordered sequences need of a session.
+_SEQUENCE = ("unit_id", "segment", "offset", "event_count", "log_keys", "lead_key", "trail_key", "_target", "_split")
 
 
 def _train(built):
@@ -127,7 +132,7 @@ def event_key_vocabulary(spark, d):
     SELECT ev.unit_id, array_to_string(list(coalesce(k.id, 3) ORDER BY pos), ',') AS ids FROM ev LEFT JOIN keys k ON ev.key = k.key WHERE pos <= (SELECT m FROM longest) GROUP BY 1"""
 )
 def event_key_sequences(spark, d):
-    built = V.event_sessions(spark, d)
+    built = V.kept_sessions(spark, d, *_SEQUENCE)
     train = _train(built)
     mapped = events.key_sequences(built, events.key_vocabulary(train), events.longest_session(train))
     return mapped.select("unit_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
@@ -210,7 +215,8 @@ def row_wise_mean_embedding(spark, d):
     SELECT d.row_id, f.tokens, f.digest FROM docs d JOIN feat f ON d._text = f._text"""
 )
 def reuse_per_distinct_text(spark, d):
-    rows = V.document_logs(spark, d).select("row_id", "_text")
+    # Cleaned once: the rows, their distinct texts and the counts of these are three reads.
+    rows = stored(V.document_logs(spark, d).select("row_id", "_text"), "texts")
     features = rows.select("_text").distinct().select(
         "_text", F.size(F.split("_text", " ")).cast("bigint").alias("tokens"), F.md5(F.col("_text").cast("binary")).alias("digest")
     )
@@ -281,7 +287,7 @@ def weighted_vector_mean(spark, d):
 )
 def near_word_scores(spark, d):
     """The matrix that word vectors are factored from, over all logs, with words for numbers."""
-    tokens = units.log_units(V.prepared_logs(spark, d)).frame.select(T.whitespace_tokens(F.col("_text")).alias("tokens"))
+    tokens = units.log_units(V.kept_logs(spark, d, "row_id", "_text")).frame.select(T.whitespace_tokens(F.col("_text")).alias("tokens"))
     words = factor.numbered_words(factor.word_counts(tokens, 2))
     found = factor.entries(factor.near_pairs(tokens, 5), words, 1.0).where("value > 1e-6")
     named = found.join(words.select(F.col("id").alias("i"), "word"), "i").join(words.select(F.col("id").alias("j"), F.col("word").alias("near")), "j")
@@ -295,7 +301,7 @@ def log_word_embedding_features(spark, d):
 
     from logtide.plans.experiment import FeatureSpace, Settings
 
-    built = units.log_units(V.prepared_logs(spark, d))
+    built = units.log_units(V.kept_logs(spark, d, "row_id", "_text", "_split"))
     space = FeatureSpace.fit(_train(built), Settings(representation="concat").checked())
     parts = F.unwrap_udt(F.col("concat"))
     return space.transform(built).select(
@@ -327,14 +333,14 @@ def log_word_embedding_features(spark, d):
 )
 def session_context_surprise(spark, d):
     """How unlikely the events of each session are between their neighbours, by normal train sessions."""
-    built = V.event_sessions(spark, d)
+    built = V.kept_sessions(spark, d, *_SEQUENCE)
     train = _train(built)
     vocabulary = events.key_vocabulary(train)
     longest = events.longest_session(train)
     normal = context.triples(train.where(F.col("_target") == 0), vocabulary, longest)
     # All but the three other special keys can occur.
     model = context.fit_contexts(normal, vocabulary.count() - len(events.SPECIAL_KEYS) + 1)
-    found = context.surprise(context.triples(built, vocabulary, longest), model)
+    found = context.surprise(stored(context.triples(built, vocabulary, longest), "triples"), model)
     return found.select("unit_id", "events", F.round("surprise", 6).alias("surprise"))
 
 
@@ -345,7 +351,7 @@ def session_embedding_features(spark, d):
 
     from logtide.plans.experiment import FeatureSpace, Settings
 
-    built = V.event_sessions(spark, d)
+    built = V.kept_sessions(spark, d)
     space = FeatureSpace.fit(_train(built), Settings(group="sessions", representation="weighted").checked())
     return space.transform(built).select(
         "unit_id",

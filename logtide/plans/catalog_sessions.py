@@ -32,7 +32,8 @@ def session_units(spark, d):
 )
 def long_session_segments(spark, d):
     """Whole scenarios as sessions, with a limit low enough that they are held in segments."""
-    frame = V.prepared_logs(spark, d).withColumn("_session", F.col("scenario_id"))
+    columns = ("row_id", "scenario_id", "_timestamp", "_text", "log_text", "_template", "anomaly_type", "_target", "_split")
+    frame = V.kept_logs(spark, d, *columns).withColumn("_session", F.col("scenario_id"))
     built = units.session_units(frame, limit=16).frame
     return built.select("unit_id", F.col("segment").cast("bigint").alias("segment"), "_text", F.array_join("log_keys", ",").alias("log_keys"), "event_count")
 
@@ -131,7 +132,7 @@ def connected_groups(spark, d):
     CASE WHEN count(DISTINCT _target) = 2 THEN 'mixed' WHEN max(_target) = 0 THEN 'pure_normal' ELSE 'pure_abnormal' END AS purity FROM prep GROUP BY 1"""
 )
 def group_class_counts(spark, d):
-    return groups.group_classes(groups.connected_groups(V.prepared_logs(spark, d)))
+    return groups.group_classes(groups.connected_groups(V.kept_logs(spark, d, "row_id", "scenario_id", "session_id", "_target")))
 
 
 @register(
@@ -147,7 +148,8 @@ def provided_split_check(spark, d):
 )
 def grouped_split_contract(spark, d):
     """The contract of the custom split: whole groups, both classes everywhere, sizes near 70/15/15."""
-    divided = split.apply_split(V.prepared_logs(spark, d), "custom")
+    logs = V.kept_logs(spark, d, "row_id", "scenario_id", "session_id", "_target", "_split")
+    divided = split.apply_split(logs, "custom")
     report = split.partition_report(divided)
     leaks = audit.group_leakage(divided).agg(F.sum("leaking").alias("leaking_ids")).withColumn("_k", F.lit(1))
     target = F.when(F.col("split") == "train", 0.7).otherwise(0.15)
