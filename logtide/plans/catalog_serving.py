@@ -9,6 +9,7 @@ from logtide.operators.skew import salted_lookup
 from logtide.plans import views as V
 from logtide.plans.catalog import register
 from logtide.plans.catalog_scoring import _COUNTS, evidence_rows, metrics_rows
+from logtide.runtime import stored
 
 
 @register(
@@ -157,7 +158,7 @@ def pasted_message_scores(spark, d):
     from logtide.plans.experiment import Settings, train_experiment
 
     labelled = V.document_logs(spark, d, "quality").where("_target is not null").withColumn("_session", F.lit(""))
-    bundle = train_experiment(labelled, Settings(representation="tfidf", classifier="lr"))
+    bundle = train_experiment(stored(labelled, "labelled"), Settings(representation="tfidf", classifier="lr"))
     rows = V.table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("log_text"))
     return score_texts(bundle, rows)
 
