@@ -62,6 +62,19 @@ def test_folded_words_equal_both_helpers(spark, vocab, reference):
         assert folded[i] == reference.encode_ordinary(word) == bpe.merged(list(ids[i]), pairs) == bpe.merged_from_heap(ids[i], pairs)
 
 
+def test_the_rank_map_is_not_in_the_plan(spark, vocab):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id bigint, text string")
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(2**31 - 16))
+    try:
+        found = bpe.frequent_words(docs, vocab, public_tokenizers.PATTERN, "text", 100, 100)
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    finally:
+        spark.conf.set(key, before)
+    assert {r["word"] for r in found.collect()} == {"some", " words"}
+
+
 def test_no_tokens_of_no_documents(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id bigint, text string"), RANKS, public_tokenizers.PATTERN).count() == 0
 
