@@ -1,5 +1,8 @@
 """The pipeline's stages on rows with nulls, very long and repeated texts, ties and clashing column names."""
 
+import gc
+import weakref
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +56,30 @@ def test_contradictory_labels_and_ties(spark):
     assert models[0].labels.tolist() == models[1].labels.tolist() and models[0].labels.sum() == 39
     same = quality.Model(models[0].projection, models[0].vectors[[0] * 60], (quality.np.arange(60) < 10).astype(float), 20)
     assert same.scores(["same words here"]).tolist() == pytest.approx([0.5])
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_begins_by_freeing_what_is_left(spark, folder, odd, name, stage):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def collections():
+        """Whole collections of the heap, which let Spark drop broadcasts that nothing refers to."""
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    class Left:
+        pass
+
+    gc.collect()
+    gc.disable()
+    try:
+        left = Left()
+        left.me, seen, before = left, weakref.ref(left), collections()
+        del left
+        shared = spark.sparkContext.broadcast([1])
+        made = odd.limit(3).select("doc_id").mapInArrow(lambda batches: (b for b in batches if shared.value), "doc_id bigint")
+        stage(spark, odd.limit(0), folder)
+        assert seen() is None and collections() > before
+    finally:
+        gc.enable()
+    # What a frame still needs stays.
+    assert made.count() == 3
