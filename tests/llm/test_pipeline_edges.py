@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logtide.llm import common, language, mixing, quality
+from logtide.llm import bpe, common, language, mixing, quality
 
 OWN = ("_lang", "_source", "_topic", "_tokens", "_probability", "_kept", "__quality", "__name", "__sure", "score", "label", "w")
 
@@ -83,3 +83,15 @@ def test_stage_begins_by_freeing_what_is_left(spark, folder, odd, name, stage):
         gc.enable()
     # What a frame still needs stays.
     assert made.count() == 3
+
+
+def _no_merges_in_the_task(*_):
+    raise AssertionError("a word of ordinary length was merged outside the fold")
+
+
+def test_tokens_stage_folds_the_words_of_all_documents(spark, folder, odd, monkeypatch):
+    expected = {tuple(r) for r in corpus_pipeline.tokenize(spark, odd, folder).collect()}
+    ahead = bpe.frequent_words
+    monkeypatch.setattr(bpe, "merged", _no_merges_in_the_task)
+    monkeypatch.setattr(bpe, "frequent_words", lambda *given: ahead(*given).limit(0))
+    assert {tuple(r) for r in corpus_pipeline.tokenize(spark, odd, folder).collect()} == expected
