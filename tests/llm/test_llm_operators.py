@@ -62,14 +62,13 @@ def test_folded_words_equal_both_helpers(spark, vocab, reference):
         assert folded[i] == reference.encode_ordinary(word) == bpe.merged(list(ids[i]), pairs) == bpe.merged_from_heap(ids[i], pairs)
 
 
-def _no_merges_in_the_task(*_):
-    raise AssertionError("a word of ordinary length was merged outside the fold")
-
-
 @pytest.mark.parametrize("words", [0, 20])
 def test_every_distinct_word_is_folded(spark, reference, vocab, monkeypatch, words):
-    monkeypatch.setattr(bpe, "merged", _no_merges_in_the_task)
-    monkeypatch.setattr(bpe, "LOT", 3)
+    def refused(*_):
+        raise AssertionError("a word of ordinary length was merged outside the fold")
+
+    monkeypatch.setattr(bpe, "merged", refused)
+    monkeypatch.setattr(bpe, "LOT", 3, raising=False)
     rows = list(enumerate(_odd_texts() + ["b" * 512 + " " + "é" * 400 + " " + "c" * 513, "d" * 600 + " one " + "e" * 600]))
     made = bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), vocab, public_tokenizers.PATTERN, words=words)
     found = {r["doc_id"]: r["tokens"] for r in made.select("doc_id", "tokens").collect()}

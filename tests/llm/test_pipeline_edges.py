@@ -85,13 +85,12 @@ def test_stage_begins_by_freeing_what_is_left(spark, folder, odd, name, stage):
     assert made.count() == 3
 
 
-def _no_merges_in_the_task(*_):
-    raise AssertionError("a word of ordinary length was merged outside the fold")
-
-
 def test_tokens_stage_folds_the_words_of_all_documents(spark, folder, odd, monkeypatch):
     expected = {tuple(r) for r in corpus_pipeline.tokenize(spark, odd, folder).collect()}
     ahead = bpe.frequent_words
-    monkeypatch.setattr(bpe, "merged", _no_merges_in_the_task)
+    def refused(*_):
+        raise AssertionError("a word of ordinary length was merged outside the fold")
+
+    monkeypatch.setattr(bpe, "merged", refused)
     monkeypatch.setattr(bpe, "frequent_words", lambda *given: ahead(*given).limit(0))
     assert {tuple(r) for r in corpus_pipeline.tokenize(spark, odd, folder).collect()} == expected
